@@ -20,7 +20,7 @@ from . import shared
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS, HOT_SHARE = 1 << 16, 1000
-LAST = F.lit(2**63 - 1)
+LAST = 2**63 - 1
 
 
 def line_key(line: Column) -> Column:
@@ -31,7 +31,7 @@ def line_key(line: Column) -> Column:
 
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return shared.id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.coalesce("doc_id", LAST).alias("doc_at"), F.coalesce("text", F.lit("")).alias("text")
+        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc_at"), F.coalesce("text", F.lit("")).alias("text")
     )
 
 
