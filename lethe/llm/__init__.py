@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, token_counts
+from . import licenses, line_dedup, mixing, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_token_files": token_files.op5_token_files,
+    "op7_mix_sources": mixing.op7_mix_sources,
 }
-ORACLE_SQL = {**line_dedup.ORACLE_SQL}
+ORACLE_SQL = {**line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL}
