@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, token_counts, token_files
+from . import jaccard, licenses, line_dedup, mixing, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLE_SQL = {**line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL}
