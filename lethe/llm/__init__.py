@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, line_dedup, mixing, token_counts, token_files
+from . import jaccard, licenses, line_dedup, mixing, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
