@@ -59,7 +59,7 @@ class PieceCache:
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         new = set(pieces).difference(self.young)
-        again = new.intersection(self.old)
+        again = {piece for piece in new if piece in self.old}
         for piece in again:
             self.young[piece] = self.old[piece]
         stems = {piece: self.stem(piece) for piece in new.difference(again)}
