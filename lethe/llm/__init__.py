@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, line_dedup, mixing, suffix_dedup, token_counts, token_files
+from . import decontamination, jaccard, licenses, line_dedup, mixing, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
