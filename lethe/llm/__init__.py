@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, line_dedup, mixing, suffix_dedup, token_counts, token_files
+from . import decontamination, jaccard, licenses, line_dedup, mixing, quality_rules, resampling, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_importance_resampling": resampling.op8_importance_resampling,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLE_SQL = {**line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL}
+ORACLE_SQL = {**line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **quality_rules.ORACLE_SQL}

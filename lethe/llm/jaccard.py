@@ -36,8 +36,6 @@ from .kernels import MULTIPLIER, mixed, shingles
 #: Similarity as a fraction of whole numbers, so that the bound is exact.
 NUMERATOR, DENOMINATOR = 80, 100
 BITS = 512
-#: Up to so many ids (8 bytes each) may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Rows of signatures that a task gathers before it hands them on.
 FLUSH = 1 << 19
 EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -202,13 +200,6 @@ def stars(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again"))
 
 
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (staged, distinct); broadcast only if there are few enough."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi")
-
-
 def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b of ``pairs`` whose sets reach the threshold. classes: class, n_shingles, bits, holder."""
     for side in ("a", "b"):
@@ -231,7 +222,7 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
             found = [shingles(text, width) for text in shared.texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
 
-    sets = shared.staged(only_ids(docs, ids).mapInArrow(sets_of, "class long, shingles binary").where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
+    sets = shared.staged(shared.by_ids(docs, ids, "left_semi").mapInArrow(sets_of, "class long, shingles binary").where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
     both = likely.select("a", "b")
     for side in ("b", "a"):
         both = both.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
@@ -267,7 +258,7 @@ def second_round(failed: DataFrame, candidates: DataFrame, links: DataFrame, cla
                     sig = np.unique(signatures(found, bands).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), class_of(found), np.int64))], ["signature", "class"])
 
-    signed = only_ids(docs, ids).mapInArrow(sign, "signature long, class long").distinct()
+    signed = shared.by_ids(docs, ids, "left_semi").mapInArrow(sign, "signature long, class long").distinct()
     rows = signed.join(about.drop("holder"), "class").repartition("signature").sortWithinPartitions("signature", "root", "class")
 
     def pairs_of(bucket: pa.Table) -> np.ndarray:

@@ -109,6 +109,22 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it; the document that is cut goes in whole if half of it is taken.
+
+    Only the thresholds travel to the texts.
+    """
+    sizes = shared.staged(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    found = thresholds(sizes, targets(sizes, weights, share, most)).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "copies", "threshold", "missing", "cell")])
+    salted = found.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashed = docs.withColumn("_mix_hash", hash_of(F.col(id_col)))
+    joined = hashed.join(salted, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")) & ((F.col("_mix_hash") % SALTS).cast("int") == F.col("_mix_salt")))
+    last = (F.col("_mix_hash") == F.col("_mix_threshold")) & (F.col("_mix_missing") * 2 >= F.col("_mix_cell")) & (F.col("_mix_cell") > 0)
+    times = F.col("_mix_copies") + ((F.col("_mix_hash") < F.col("_mix_threshold")) | last).cast("long")
+    repeated = joined.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("_mix_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE_SQL = {
     "op7_mix_sources": r"""
 WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -26,3 +26,18 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own, so that other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Up to so many ids (8 bytes each) may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` whose id is (left_semi) or is not (left_anti) in the one column of ``ids``, a staged table of distinct ids.
+
+    Only ids travel if there are few enough; a null matches a null.
+    """
+    ids = ids.toDF("_wanted")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_wanted")), how)
