@@ -36,8 +36,7 @@ class ChunkEncoder:
     def counts(self, chunks: list[str]) -> list[int]:
         """Tokens of each chunk: each run of non-space characters is encoded by the library once."""
         cut = [_RUN.findall(chunk) if "\t" in chunk or "\r" in chunk else chunk.replace("\n", " ").split(" ") for chunk in chunks]
-        sizes = self.cache.learn(run for runs in cut for run in runs)
-        return [sum(map(sizes.__getitem__, runs)) for runs in cut]
+        return [sum(found) for found in self.cache.values(cut)]
 
     def offsets(self, text: str, start: int) -> dict[int, int]:
         """For a text that begins at ``start``: the token starts, each with the number of tokens before it."""

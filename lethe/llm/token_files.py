@@ -37,7 +37,7 @@ HEAD, ENTRY = struct.Struct("<4sHHI32s"), struct.Struct("<qQIQ")
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 1 << 16
 SHARD_BYTES, LEVEL = 1 << 22, 1
 SHARDS = "part int, seq int, first_id long, last_id long, n_docs int, n_ids long, ids_before long, shard binary"
-BATCH_ROWS = 64
+BATCH_ROWS = 256
 
 
 def narrow(ids: bytes, width: int) -> bytes:

@@ -2,8 +2,8 @@
 
 A boundary is stable if no token can run across it and the tokens on either side do not depend on the other side.
 The pre-tokenizers used here match letters, digits, other characters and white space in separate alternatives, so a
-boundary lies between a non-space character and white space, and between a letter and a punctuation mark that ends a
-run. Distinct pieces are encoded once by the library; a worker keeps them in a bounded cache over its tasks.
+boundary lies between a non-space character and white space, and between a letter and a lone mark that ends a run.
+Distinct pieces are encoded once by the library; a worker keeps them in a bounded cache over its tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 from typing import Any
 
-import numpy as np
-
 #: Pieces in each of the cache's two generations; about 150 bytes each.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
+MARKS = (",", ".")
+#: How byte-level models write a space.
+SPACE_MARK = "\u0120"
 
 
 def published(name: str) -> str:
@@ -40,68 +42,86 @@ def load(path: str):
 
 
 class PieceCache:
-    """What ``value`` makes of the ids of each piece. ``lower``: the tokenizer lower-cases, so ASCII pieces can be lower-cased here."""
+    """What ``value`` makes of the ids of each piece. plain: a byte-level model without a normalizer."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], Any], lower: bool):
-        self.tokenizer, self.value, self.lower = load(path), value, lower
+    def __init__(self, path: str, value: Callable[[list[int]], Any], plain: bool = False):
+        self.tokenizer, self.value, self.plain = load(path), value, plain
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
-    def stem(self, piece: str) -> tuple[str, str]:
-        """A piece as a shorter one, if a comma or full stop follows a letter at its end, and that mark."""
-        mark = ""
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2] < "ɐ" and piece[-2].isalpha() and len(piece[-2].lower()) == 1:
-            piece, mark = piece[:-1], piece[-1]
-        return piece.lower() if self.lower and piece.isascii() and "<|" not in piece else piece, mark
-
     def learn(self, pieces: Iterable[str]) -> dict[str, Any]:
-        """The cache, with a value for each of ``pieces``."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        new = set(pieces).difference(self.young)
-        again = {piece for piece in new if piece in self.old}
-        for piece in again:
-            self.young[piece] = self.old[piece]
-        stems = {piece: self.stem(piece) for piece in new.difference(again)}
-        values: dict[str, Any] = {"": self.value([])}
-        missing = []
-        for piece in {x for pair in stems.values() for x in pair if x}:
-            found = self.young.get(piece) if piece in self.young else self.old.get(piece)
-            if found is None:
-                missing.append(piece)
+        """The cache, with a value for each of ``pieces`` (only those that may be new need be given)."""
+        missing, marked = [], []
+        for piece in set(pieces):
+            if piece in self.young:
+                continue
+            found = self.old.get(piece)
+            if found is not None:
+                self.young[piece] = found
+            elif piece[-1:] in MARKS and piece[-2:-1] < "\u0250" and piece[-2:-1].isalpha() and len(piece[-2].lower()) == 1:
+                marked.append(piece)
             else:
-                values[piece] = found
+                missing.append(piece)
+        if marked:  # a comma or full stop after a letter at the end of a piece is a token of its own
+            stems = {piece[:-1] for piece in marked}.union(MARKS).difference(self.young).difference(missing)
+            missing += stems
+        if self.plain:  # a space and ASCII letters are one pre-token: the model alone gives its ids
+            words = [piece for piece in missing if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())]
+            model = self.tokenizer.model
+            for piece in words:
+                written = SPACE_MARK + piece[1:] if piece[0] == " " else piece
+                self.young[piece] = self.value([token.id for token in model.tokenize(written)])
+            missing = list(set(missing).difference(words))
         for k in range(0, len(missing), 4096):
             some = missing[k : k + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                values[piece] = self.young[piece] = self.value(found.ids)
-        for piece, (first, mark) in stems.items():
-            self.young[piece] = values[first] + values[mark] if mark else values[first]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.young.update(zip(some, [self.value(found.ids) for found in encoded]))
+        for piece in marked:
+            self.young[piece] = self.young[piece[:-1]] + self.young[piece[-1]]
         return self.young
 
+    def values(self, texts: list[list[str]]) -> list[list[Any]]:
+        """The values of the pieces of each text; a piece is looked up once if it is known."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        out = [list(map(self.young.get, parts)) for parts in texts]
+        gaps = []
+        for found, parts in zip(out, texts):
+            at = -1
+            while True:
+                try:
+                    at = found.index(None, at + 1)
+                except ValueError:
+                    break
+                gaps.append((found, at, parts[at]))
+        known = self.learn(piece for _, _, piece in gaps)
+        for found, at, piece in gaps:
+            found[at] = known[piece]
+        return out
+
 
 def _id_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.lru_cache(4)
 def id_cache(path: str) -> PieceCache:
-    return PieceCache(path, _id_bytes, lower=False)
+    return PieceCache(path, _id_bytes, plain=True)
 
 
 @functools.lru_cache(4)
 def count_cache(path: str) -> PieceCache:
-    return PieceCache(path, len, lower=True)
+    return PieceCache(path, len)
 
 
-#: White space next to white space, or the character that marks the cuts, or white space other than space and line feed.
-_IRREGULAR = re.compile(r"[\s\x1c-\x1f\x85]{2}|[\x00\t\r\x0b\x0c\x1c-\x1f\x85   -     　]")
+#: The character that marks the cuts, and white space other than space and line feed.
+_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
 
 
 def pieces(text: str) -> list[str]:
     """``text`` cut before each space after a non-space character and around lone line feeds; joined, they give the text."""
-    if not _IRREGULAR.search(text):
+    if not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD.search(text)):
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     parts = text.split(" ")
     out = [parts[0]]
@@ -115,6 +135,4 @@ def pieces(text: str) -> list[str]:
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole byte-level BPE texts as little-endian unsigned 32-bit integers."""
-    cut = [pieces(text) for text in texts]
-    known = id_cache(path).learn(p for parts in cut for p in parts)
-    return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+    return [b"".join(found) for found in id_cache(path).values([pieces(text) for text in texts])]
