@@ -3,16 +3,21 @@
 Sets are the distinct 5-word shingles of a text. Documents of one set are one class (named by a 64-bit hash of the set),
 so copies never pair. Sizes fall into bands whose ends are 1/threshold apart; a set takes part in the instances of its own and the
 next band. In an instance with largest size u, linked sets differ in at most k = 2u(1-t)/(1+t) shingles. The hash
-domain is cut into n > k partitions: linked sets agree on n - k of them at least, and the first agreeing non-empty
-one is among the first k + 1 non-empty ones of either set. The signature of a partition is a hash of its whole content.
-(First-level partitions with no difference allowed inside: the subsets that PartEnum enumerates are then single
-partitions, which needs the fewest signatures, k + 1.) Sets with so many empty partitions that all agreeing ones might be empty
-sign their empty partitions as well, so no link is lost.
-
-Classes that share a signature are linked to the least one of them (round 1), never to each other. Links are checked:
-sizes, then parity bitmaps (a lower bound of the difference, exact to reject), then the sets themselves. Where a
-bucket of three or more had a failed check, its classes meet again (round 2): those that failed against all others
-of another component, compared by bitmap inside the task, and only pairs that the bounds let through leave it.
+domain is cut into n > k partitions, so linked sets agree on n - k of them at least. The signature of a partition is a
+hash of its whole content. (The subsets that PartEnum enumerates are single partitions here: no difference is allowed
+inside one, which needs the fewest signatures.)
+
+Partitions that hold a shingle which is not frequent come first: the first agreeing one of linked sets is among the
+first k + 1 of either. A set with n - k or more other partitions signs these as well (the first k + 1 filled ones, and
+the empty ones if there are so many), since then all agreeing ones might be among them. No link is lost, whatever
+counts as frequent: shingles in MANY classes of a sample of SAMPLE documents do, so passages that many documents share
+do not bring these together.
+
+Classes that share a signature meet: all pairs in a bucket of up to SMALL classes, in a larger one each with the
+least (round 1). Candidates are checked: sizes, then parity bitmaps (a lower bound of the difference, exact to
+reject), then the sets themselves. Where a large bucket had a failed check, its classes meet again (round 2): those that failed against all
+others of another component, compared by bitmap inside the task, and only pairs that the bounds let through leave it;
+first the nearest ones, which joins the components of a group of near copies, then all pairs that are still apart.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
 component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners.
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from lethe.operators.graph import connected_components
 
 from . import shared
-from .kernels import MULTIPLIER, mixed, shingles
+from .kernels import MULTIPLIER, mixed, shingles, starts
 
 #: Similarity as a fraction of whole numbers, so that the bound is exact.
 NUMERATOR, DENOMINATOR = 80, 100
@@ -39,6 +44,12 @@ BITS = 512
 #: Rows of signatures that a task gathers before it hands them on.
 FLUSH = 1 << 19
 EMPTY = np.uint64(0x5851F42D4C957F2D)
+#: Documents that are looked at for frequent shingles, and the classes of them that make a shingle frequent.
+SAMPLE, MANY = 4000, 4
+#: Classes of a bucket that all meet.
+SMALL = 8
+#: Round 2 first pairs a failed class with so many of the nearest ones of a bucket, at last (0) with all that are still apart.
+NEAREST = (3, 0)
 
 
 class Bands:
@@ -58,7 +69,24 @@ class Bands:
         while len(self.high) <= band:
             self.high.append((self.high[-1] + 1) * self.den // self.num)
         k = 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
-        return k, k + 1 + (max(2, k // 10) if k else 0)
+        return k, k + 1 + (max(2, k // 5) if k else 0)
+
+
+class Frequent:
+    """A set of shingle hashes of bounded size."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def holds(self, found: np.ndarray) -> np.ndarray:
+        out = self.table[(found & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, found[maybe]), len(self.hashes) - 1)
+            out[maybe] = self.hashes[at] == found[maybe]
+        return out
 
 
 def class_of(found: np.ndarray) -> int:
@@ -72,30 +100,30 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
+def signatures(found: np.ndarray, bands: Bands, frequent: Frequent) -> np.ndarray:
     """Signatures of a set (sorted distinct hashes) in both of its instances."""
     out = []
     with np.errstate(over="ignore"):
-        inner, high = mixed(found + EMPTY), found >> np.uint64(32)
+        inner, high, telling = mixed(found + EMPTY), found >> np.uint64(32), ~frequent.holds(found)
         band = bands.of(len(found))
         for name in (band, band + 1):
             k, n = bands.instance(name)
             part = (high * np.uint64(n)) >> np.uint64(32)
-            first = np.flatnonzero(np.diff(part, prepend=np.uint64(n)))
+            first = starts(part)
             sums, filled = np.add.reduceat(inner, first), part[first]
             salt = np.uint64(name + 1) * MULTIPLIER
-            out.append(mixed(mixed(sums + filled + np.uint64(1)) + salt)[: k + 1])
-            if n - len(filled) >= n - k:  # all agreeing partitions may be empty
-                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), filled)
-                out.append(mixed(mixed(EMPTY + empty) + salt))
+            signed = sums + filled + np.uint64(1)
+            leading = np.logical_or.reduceat(telling, first)
+            chosen = signed[leading]
+            out.append(mixed(mixed(chosen[: k + 1]) + salt))
+            if n - len(chosen) >= n - k:  # all agreeing partitions may be others
+                out.append(mixed(mixed(signed[~leading][: k + 1]) + salt))
+                if n - len(filled) >= n - k:
+                    empty = np.setdiff1d(np.arange(n, dtype=np.uint64), filled)
+                    out.append(mixed(mixed(EMPTY + empty) + salt))
     return np.concatenate(out)
 
 
-def grouped(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys start."""
-    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-
-
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, class (null without words), bits."""
 
@@ -112,30 +140,50 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
 
 
-def signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """signature, a, b. b null: class a has the signature; b = a: several classes of the task have it and a is the least.
-    Else a link to check between the least class a and b, under a key of its own."""
+def frequent_shingles(docs: DataFrame, profile: DataFrame, width: int) -> Frequent:
+    """Shingles in MANY classes or more of SAMPLE documents, those with the smallest id hashes: SAMPLE / MANY sets' worth at most."""
+    ids = profile.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in shared.texts_of(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, width).view(np.int64))], ["shingle"])
+
+    sample = shared.by_ids(docs, shared.staged(ids.where("doc_id IS NOT NULL"), "sample"), "left_semi").mapInArrow(run, "shingle long")
+    found = sample.groupBy("shingle").count().where(F.col("count") >= MANY).select("shingle")
+    return Frequent(np.array([row.shingle for row in found.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def runs_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = starts(sig)
+    return first, np.diff(first, append=len(sig))
+
+
+def signature_rows(docs: DataFrame, width: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+    """signature, a, b. b null: class a has the signature; b = a: more than SMALL classes of the task have it and a is the
+    least. Else a link to check between the least class a and b, under a key of its own."""
 
     def combine(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])))
         sig, cls = sig[fresh], cls[fresh]
-        first = grouped(sig)
-        size = np.diff(first, append=len(sig))
-        least = np.repeat(cls[first], size)
-        member = np.ones(len(sig), bool)
+        first, size = runs_of(sig)
+        large = size > SMALL
+        member = np.repeat(large, size)
         member[first] = False
-        a, b = least[member], cls[member]
+        a, b = np.repeat(cls[first], size)[member], cls[member]
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
         with np.errstate(over="ignore"):
             key = mixed(mixed(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
-        lone = pa.array(cls[first], pa.int64(), mask=size == 1)
+        marked = np.zeros(len(sig), bool)
+        marked[first[large]] = True
+        kept = pa.array(cls[~member], pa.int64(), mask=~marked[~member])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([sig[first], key])),
-                pa.array(np.concatenate([cls[first], pairs[:, 0]])),
-                pa.concat_arrays([lone, pa.array(np.ascontiguousarray(pairs[:, 1]), pa.int64())]),
+                pa.array(np.concatenate([sig[~member], key])),
+                pa.array(np.concatenate([cls[~member], pairs[:, 0]])),
+                pa.concat_arrays([kept, pa.array(np.ascontiguousarray(pairs[:, 1]), pa.int64())]),
             ],
             ["signature", "a", "b"],
         )
@@ -146,7 +194,7 @@ def signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
             for text in shared.texts_of(batch, "text"):
                 found = shingles(text, width)
                 if len(found):
-                    sigs.append(signatures(found, bands).view(np.int64))
+                    sigs.append(signatures(found, bands, frequent).view(np.int64))
                     classes.append(np.full(len(sigs[-1]), class_of(found), np.int64))
                     held += len(sigs[-1])
                 if held >= FLUSH:
@@ -158,16 +206,26 @@ def signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     return docs.mapInArrow(run, "signature long, a long, b long")
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """a, b, again: links to check, each class with the least of its bucket; again: the bucket has three classes or more."""
+def met(sig: np.ndarray, a: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+    """a, b, again of the pairs to check in buckets of rows sorted by signature and class. several: the row stands for more."""
+    first, size = runs_of(sig)
+    if not len(first):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    many = (np.add.reduceat(several.astype(np.int64), first) > 0) | (size > SMALL)
+    large = np.repeat(many, size)
+    least = np.repeat(a[first], size)
+    found = [(least[large], a[large], np.ones(large.sum(), bool))]
+    left = np.repeat(first + size, size) - np.arange(len(sig)) - 1  # rows of the bucket after this one
+    for step in range(1, SMALL):
+        here = np.flatnonzero(~large & (left >= step))
+        found.append((a[here], a[here + step], np.zeros(len(here), bool)))
+    one, two, again = (np.concatenate(c) for c in zip(*found))
+    keep = one != two
+    return np.minimum(one, two)[keep], np.maximum(one, two)[keep], again[keep]
 
-    def edges(sig: np.ndarray, a: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
-        first = grouped(sig)
-        size = np.diff(first, append=len(sig))
-        many = (np.add.reduceat(several.astype(np.int64), first) > 0) | (size > 2) if len(first) else np.empty(0, bool)
-        least, again = np.repeat(a[first], size), np.repeat(many, size)
-        keep = least != a
-        return least[keep], a[keep], again[keep]
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """a, b, again: pairs to check; again: from a large bucket, where not all pairs have met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, a, several = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -181,20 +239,22 @@ def stars(rows: DataFrame) -> DataFrame:
             a = np.concatenate([a, new_a[~link]])
             several = np.concatenate([several, known[~link]])
             if len(sig):
-                last = grouped(sig)[-1]
-                if len(sig) - last >= 3:  # what a large bucket still needs to know is its least class
-                    found.append(edges(sig, a, several))
-                    sig, a, several = np.repeat(sig[last], 3), np.repeat(a[last], 3), np.zeros(3, bool)
+                last = starts(sig)[-1]
+                if len(sig) - last > SMALL:  # what a large bucket still needs to know is its least class
+                    found.append(met(sig, a, several))
+                    sig, a, several = sig[last : last + 1], a[last : last + 1], np.ones(1, bool)
                 else:
-                    found.append(edges(sig[:last], a[:last], several[:last]))
+                    found.append(met(sig[:last], a[:last], several[:last]))
                     sig, a, several = sig[last:], a[last:], several[last:]
             yield as_batch(found)
-        yield as_batch([edges(sig, a, several)])
+        yield as_batch([met(sig, a, several)])
 
     def as_batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        table = np.stack([np.concatenate(c).astype(np.int64) for c in zip(*found)], 1)
-        table = np.unique(table, axis=0) if len(table) else table
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, 0])), pa.array(np.ascontiguousarray(table[:, 1])), pa.array(table[:, 2].astype(bool))], ["a", "b", "again"])
+        a, b, again = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((~again, b, a))
+        a, b, again = a[order], b[order], again[order]
+        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(again[fresh])], ["a", "b", "again"])
 
     ordered = rows.repartition("signature").sortWithinPartitions("signature", "a")
     return ordered.mapInArrow(run, "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again"))
@@ -239,15 +299,8 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     return both.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
-def second_round(failed: DataFrame, candidates: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs of a failed class and another one of a common bucket that lie in different components and pass the bounds."""
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
-    again = candidates.where("again")
-    members = again.select(F.col("a").alias("class")).union(again.select("b")).distinct()
-    about = classes.join(members, "class").join(roots, "class", "left").join(failed.withColumn("failed", F.lit(True)), "class", "left")
-    about = about.select("class", "n_shingles", "bits", "holder", F.coalesce("root", "class").alias("root"), F.coalesce("failed", F.lit(False)).alias("failed"))
-    about = shared.staged(about, "again")
-    ids = about.select(F.col("holder").alias("doc_id"))
+def signed_again(members: DataFrame, docs: DataFrame, width: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+    """signature, class of the classes that large buckets held. members: class, holder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -255,34 +308,45 @@ def second_round(failed: DataFrame, candidates: DataFrame, links: DataFrame, cla
             for text in shared.texts_of(batch, "text"):
                 found = shingles(text, width)
                 if len(found):
-                    sig = np.unique(signatures(found, bands).view(np.int64))
+                    sig = np.unique(signatures(found, bands, frequent).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), class_of(found), np.int64))], ["signature", "class"])
 
-    signed = shared.by_ids(docs, ids, "left_semi").mapInArrow(sign, "signature long, class long").distinct()
-    rows = signed.join(about.drop("holder"), "class").repartition("signature").sortWithinPartitions("signature", "root", "class")
+    ids = shared.staged(members.select(F.col("holder").alias("doc_id")), "ids")
+    return shared.by_ids(docs, ids, "left_semi").mapInArrow(sign, "signature long, class long").distinct()
+
+
+def second_round(signed: DataFrame, about: DataFrame, num: int, den: int, nearest: int) -> DataFrame:
+    """Pairs of a failed class and another one of a common bucket that lie in different components and pass the bounds.
+
+    about: class, n_shingles, bits, root, failed. nearest: for each failed class only so many of the bucket, those whose
+    bitmaps differ least (0: all).
+    """
 
-    def pairs_of(bucket: pa.Table) -> np.ndarray:
-        cls, n, root, failed_here = (bucket.column(c).to_numpy() for c in ("class", "n_shingles", "root", "failed"))
-        if root[0] == root[-1] or not failed_here.any():
-            return np.empty((0, 2), np.int64)
-        bits = np.frombuffer(b"".join(bucket.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+    def pairs_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, failed_here: np.ndarray, bits: np.ndarray) -> np.ndarray:
         out = []
         for i in np.flatnonzero(failed_here):
-            fits = (root != root[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (~failed_here | (cls > cls[i]))
-            at = np.flatnonzero(fits)
+            at = np.flatnonzero((root != root[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
             differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[differ <= (n[at] + n[i]) * (den - num) // (den + num)]
-            out.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])], 1))
-        return np.concatenate(out)
+            near = differ <= (n[at] + n[i]) * (den - num) // (den + num)
+            at, differ = at[near], differ[near]
+            if 0 < nearest < len(at):
+                at = at[np.argpartition(differ, nearest)[:nearest]]
+            if len(at):
+                out.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])], 1))
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(bucket: pa.Table) -> pa.RecordBatch:
-            sig = bucket.column("signature").to_numpy()
-            first = grouped(sig)
-            found = [pairs_of(bucket.slice(s, e - s)) for s, e in zip(first, [*first[1:], len(sig)]) if e - s > 1]
-            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            sig, cls, n, root, failed_here = (bucket.column(c).to_numpy() for c in ("signature", "class", "n_shingles", "root", "failed"))
+            bits = np.frombuffer(b"".join(bucket.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+            first, size = runs_of(sig)
+            telling = (root[first] != root[first + size - 1]) & (np.add.reduceat(failed_here, first, dtype=np.int64) > 0)
+            found = [np.empty((0, 2), np.int64)]
+            for s, e in zip(first[telling], (first + size)[telling]):
+                found.append(pairs_of(cls[s:e], n[s:e], root[s:e], failed_here[s:e], bits[s:e]))
+            pairs = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
         for batch in batches:
@@ -290,7 +354,7 @@ def second_round(failed: DataFrame, candidates: DataFrame, links: DataFrame, cla
                 continue
             held.append(batch)
             sig = batch.column("signature").to_numpy()
-            cut = grouped(sig)[-1]
+            cut = starts(sig)[-1]
             if cut or held[0].column("signature")[0].as_py() != sig[0]:
                 whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
                 if whole.num_rows:
@@ -299,7 +363,11 @@ def second_round(failed: DataFrame, candidates: DataFrame, links: DataFrame, cla
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(meet, "a long, b long").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    # buckets of one component, or without a failed class, have nothing to tell
+    short = signed.join(about.select("class", "root", "failed"), "class")
+    open_buckets = short.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("failed").alias("some")).where("low != high AND some")
+    rows = signed.join(open_buckets.select("signature"), "signature", "left_semi").join(about, "class")
+    return rows.repartition("signature").sortWithinPartitions("signature", "root", "class").mapInArrow(meet, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,13 +376,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, de
     profile = shared.staged(profiles(docs, width), "profiles")
     classes = profile.where("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     classes = shared.staged(classes, "classes")
-    candidates = shared.staged(stars(signature_rows(docs, width, num, den)), "candidates")
+    frequent = frequent_shingles(docs, profile, width)
+    candidates = shared.staged(candidate_pairs(signature_rows(docs, width, num, den, frequent)), "candidates")
     links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den), "links")
     missed = candidates.where("again").join(links, ["a", "b"], "left_anti")
     failed = shared.staged(missed.select(F.col("b").alias("class")).distinct(), "failed")
     if not failed.isEmpty():
-        more = shared.staged(second_round(failed, candidates, links, classes, docs, width, num, den), "more")
-        links = links.union(shared.staged(checked(more, classes, docs, width, num, den), "links"))
+        large = candidates.where("again")
+        members = large.select(F.col("a").alias("class")).union(large.select("b")).distinct()
+        about = shared.staged(classes.join(members, "class").join(failed.withColumn("failed", F.lit(True)), "class", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), "again")
+        signed = shared.staged(signed_again(about, docs, width, num, den, frequent), "signed")
+        tested = candidates.select("a", "b")
+        for nearest in NEAREST:
+            roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
+            placed = about.join(roots, "class", "left").select("class", "n_shingles", "bits", F.coalesce("root", "class").alias("root"), "failed")
+            more = second_round(signed, shared.staged(placed, "placed"), num, den, nearest).join(tested, ["a", "b"], "left_anti")
+            more = shared.staged(more, "more")
+            if not more.isEmpty():
+                tested = tested.union(more)
+                links = links.union(shared.staged(checked(more, classes, docs, width, num, den), "links"))
     roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = classes.select("class", "holder").join(roots, "class", "left").join(ends, "class", "left")

@@ -41,10 +41,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> np.ndarray:
     """A 64-bit hash for each maximal run of word bytes, in order."""
     mask = is_word[data]
-    edges = np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0))
+    change = np.zeros(len(mask) + 1, bool)
+    if len(mask):
+        change[0], change[-1] = mask[0], mask[-1]
+        np.not_equal(mask[1:], mask[:-1], out=change[1:-1])
+    edges = np.flatnonzero(change)
     if not len(edges):
         return np.empty(0, np.uint64)
     lengths = edges[1::2] - edges[0::2]
+    if len(data) <= len(POWER):  # differences of running sums, moved to the word's start
+        with np.errstate(over="ignore"):
+            sums = np.empty(len(data) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(BYTE_VALUE[data] * POWER[: len(data)], out=sums[1:])
+            h = (sums[edges[1::2]] - sums[edges[0::2]]) * INVERSE[edges[0::2]]
+            return mixed(h + lengths.astype(np.uint64) * MULTIPLIER)
     first = np.cumsum(lengths) - lengths
     inside = data[mask]
     place = np.arange(len(inside)) - np.repeat(first, lengths)
@@ -54,6 +65,13 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> np.ndarray
         return mixed(h + lengths.astype(np.uint64) * MULTIPLIER)
 
 
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
 def combined(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of ``width`` consecutive hashes."""
     n = len(hashes) - width + 1
@@ -72,7 +90,8 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     if len(words) < width:
         with np.errstate(over="ignore"):
             return mixed(np.array([(words * POWER[1 : len(words) + 1]).sum() + np.uint64(len(words))], np.uint64))
-    return np.unique(combined(words, width))
+    found = np.sort(combined(words, width))
+    return found[starts(found)]
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
