@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lethe.operators import datasets, ledger, rules, state
+from lethe.operators import ledger, rules, state
 from lethe.operators.graph import connected_components
 from lethe.plans.scores import r, rounded
 from lethe.registry import register
