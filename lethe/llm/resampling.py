@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .kernels import LOWER, MULTIPLIER, POWER, mixed
+from .kernels import LOWER, MULTIPLIER, mixed
 
 GRAM, ROWS, BITS = 5, 2, 18
 LABELLED, HOLDOUT, SPARE, Z, SHARPNESS = 200_000, 5, 0.005, 3.0, 4.0
