@@ -15,9 +15,9 @@ do not bring these together.
 
 Classes that share a signature meet: all pairs in a bucket of up to SMALL classes, in a larger one each with the
 least (round 1). Candidates are checked: sizes, then parity bitmaps (a lower bound of the difference, exact to
-reject), then the sets themselves. Where a large bucket had a failed check, its classes meet again (round 2): those that failed against all
-others of another component, compared by bitmap inside the task, and only pairs that the bounds let through leave it;
-first the nearest ones, which joins the components of a group of near copies, then all pairs that are still apart.
+reject), then the sets themselves (round 1). Classes that links or large buckets tie together are a family: no link leaves
+one. All pairs of a family meet again (round 2), by size, bitmap and sets inside the task, and only links between
+different components leave it.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
 component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners.
@@ -48,8 +48,8 @@ EMPTY = np.uint64(0x5851F42D4C957F2D)
 SAMPLE, MANY = 4000, 4
 #: Classes of a bucket that all meet.
 SMALL = 8
-#: Round 2 first pairs a failed class with so many of the nearest ones of a bucket, at last (0) with all that are still apart.
-NEAREST = (3, 0)
+#: Classes that are compared with as many others at once, shingles that go into one product, and pairs up to which none is made.
+SIDE, COLUMNS, FEW = 256, 4096, 64
 
 
 class Bands:
@@ -260,6 +260,17 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again"))
 
 
+def class_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """class, shingles of the documents in ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text, width) for text in shared.texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
+
+    return shared.staged(shared.by_ids(docs, ids, "left_semi").mapInArrow(run, "class long, shingles binary").where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
+
+
 def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b of ``pairs`` whose sets reach the threshold. classes: class, n_shingles, bits, holder."""
     for side in ("a", "b"):
@@ -277,12 +288,7 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     likely = shared.staged(sized.mapInArrow(near, "a long, b long, holder_a long, holder_b long"), "pairs")
     ids = shared.staged(likely.select(F.col("holder_a").alias("doc_id")).union(likely.select("holder_b")).distinct(), "ids")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(text, width) for text in shared.texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
-
-    sets = shared.staged(shared.by_ids(docs, ids, "left_semi").mapInArrow(sets_of, "class long, shingles binary").where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
+    sets = class_sets(docs, ids, width)
     both = likely.select("a", "b")
     for side in ("b", "a"):
         both = both.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
@@ -299,75 +305,106 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     return both.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
-def signed_again(members: DataFrame, docs: DataFrame, width: int, num: int, den: int, frequent: Frequent) -> DataFrame:
-    """signature, class of the classes that large buckets held. members: class, holder."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in batches:
-            for text in shared.texts_of(batch, "text"):
-                found = shingles(text, width)
-                if len(found):
-                    sig = np.unique(signatures(found, bands, frequent).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), class_of(found), np.int64))], ["signature", "class"])
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each set of ``y``: a matrix product over the shingles that both sides hold."""
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(both):
+        return out
 
-    ids = shared.staged(members.select(F.col("holder").alias("doc_id")), "ids")
-    return shared.by_ids(docs, ids, "left_semi").mapInArrow(sign, "signature long, class long").distinct()
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, found), len(both) - 1)
+        here = both[at] == found
+        return row[here], at[here]
+
+    sides = [(len(x), *placed(x)), (len(y), *placed(y))]
+    for low in range(0, len(both), COLUMNS):
+        parts = []
+        for n, row, at in sides:
+            inside = (at >= low) & (at < low + COLUMNS)
+            part = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            part[row[inside], at[inside] - low] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked ones of all pairs of rows ``x`` and ``y``; of x and x each pair once."""
+    one, two = n[x][:, None], n[y][None, :]
+    maybe = den * np.minimum(one, two) >= num * np.maximum(one, two)
+    if x is y:
+        maybe = np.triu(maybe, 1)
+    if maybe.any():
+        maybe &= np.bitwise_count(bits[x][:, None] ^ bits[y][None, :]).sum(2, dtype=np.int64) <= (one + two) * (den - num) // (den + num)
+    i, k = np.nonzero(maybe)
+    if len(i) > FEW:
+        common = common_counts([sets[r] for r in x], [sets[r] for r in y])[i, k]
+    else:
+        common = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x[i], y[k])], np.int64)
+    i, k = x[i], y[k]
+    keep = den * common >= num * (n[i] + n[k] - common)
+    return i[keep], k[keep]
+
+
+def dealt(about: DataFrame) -> DataFrame:
+    """``about`` with family, low, high, mine: each pair of classes of a family meets under one (family, low, high).
+
+    mine: the part that the class is in; low < high asks for the pairs between two parts, low = high for those in one.
+    """
+    size = about.groupBy("family").agg(F.lit(1).alias("parts"))
+    split = about.join(size, "family").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    return split.select("*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).drop("parts", "other")
 
 
-def second_round(signed: DataFrame, about: DataFrame, num: int, den: int, nearest: int) -> DataFrame:
-    """Pairs of a failed class and another one of a common bucket that lie in different components and pass the bounds.
+def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links that join the components of all classes of a family, by name of their present ones.
 
-    about: class, n_shingles, bits, root, failed. nearest: for each failed class only so many of the bucket, those whose
-    bitmaps differ least (0: all).
+    about: class, n_shingles, bits, root, family.
     """
 
-    def pairs_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, failed_here: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        out = []
-        for i in np.flatnonzero(failed_here):
-            at = np.flatnonzero((root != root[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            near = differ <= (n[at] + n[i]) * (den - num) // (den + num)
-            at, differ = at[near], differ[near]
-            if 0 < nearest < len(at):
-                at = at[np.argpartition(differ, nearest)[:nearest]]
-            if len(at):
-                out.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])], 1))
-        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(bucket: pa.Table) -> pa.RecordBatch:
-            sig, cls, n, root, failed_here = (bucket.column(c).to_numpy() for c in ("signature", "class", "n_shingles", "root", "failed"))
-            bits = np.frombuffer(b"".join(bucket.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
-            first, size = runs_of(sig)
-            telling = (root[first] != root[first + size - 1]) & (np.add.reduceat(failed_here, first, dtype=np.int64) > 0)
-            found = [np.empty((0, 2), np.int64)]
-            for s, e in zip(first[telling], (first + size)[telling]):
-                found.append(pairs_of(cls[s:e], n[s:e], root[s:e], failed_here[s:e], bits[s:e]))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+    def resolve(tile: pa.Table) -> pa.RecordBatch:
+        n, root, low, high, mine = (tile.column(c).to_numpy() for c in ("n_shingles", "root", "low", "high", "mine"))
+        bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in tile.column("shingles")]
+        sides = [[rows[k : k + SIDE] for k in range(0, len(rows), SIDE)] for rows in (np.flatnonzero(mine == low), np.flatnonzero(mine == high))]
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        edges = []
+        for at, x in enumerate(sides[0]):
+            for y in sides[0][at:] if low[0] == high[0] else sides[1]:
+                i, k = linked_pairs(x, y, n, bits, sets, num, den)
+                apart = root[i] != root[k]
+                for p, q in np.unique(np.stack([root[i], root[k]], 1)[apart], axis=0).tolist():
+                    if top(p) != top(q):
+                        parent[top(p)] = top(q)
+                        edges.append((p, q))
+        return pa.RecordBatch.from_arrays([pa.array([e[side] for e in edges], pa.int64()) for side in (0, 1)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key: tuple | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            sig = batch.column("signature").to_numpy()
-            cut = starts(sig)[-1]
-            if cut or held[0].column("signature")[0].as_py() != sig[0]:
-                whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-                if whole.num_rows:
-                    yield done(whole)
-                held = [batch.slice(cut)]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("family", "low", "high")], 1)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(1))))
+            for s, e in zip(first, np.append(first[1:], len(keys))):
+                if held and tuple(keys[s]) != key:
+                    yield resolve(pa.Table.from_batches(held))
+                    held = []
+                key = tuple(keys[s])
+                held.append(batch.slice(s, e - s))
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield resolve(pa.Table.from_batches(held))
 
-    # buckets of one component, or without a failed class, have nothing to tell
-    short = signed.join(about.select("class", "root", "failed"), "class")
-    open_buckets = short.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("failed").alias("some")).where("low != high AND some")
-    rows = signed.join(open_buckets.select("signature"), "signature", "left_semi").join(about, "class")
-    return rows.repartition("signature").sortWithinPartitions("signature", "root", "class").mapInArrow(meet, "a long, b long").distinct()
+    rows = dealt(about).join(sets, "class").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "n_shingles")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,22 +416,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, de
     frequent = frequent_shingles(docs, profile, width)
     candidates = shared.staged(candidate_pairs(signature_rows(docs, width, num, den, frequent)), "candidates")
     links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den), "links")
-    missed = candidates.where("again").join(links, ["a", "b"], "left_anti")
-    failed = shared.staged(missed.select(F.col("b").alias("class")).distinct(), "failed")
-    if not failed.isEmpty():
-        large = candidates.where("again")
-        members = large.select(F.col("a").alias("class")).union(large.select("b")).distinct()
-        about = shared.staged(classes.join(members, "class").join(failed.withColumn("failed", F.lit(True)), "class", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), "again")
-        signed = shared.staged(signed_again(about, docs, width, num, den, frequent), "signed")
-        tested = candidates.select("a", "b")
-        for nearest in NEAREST:
-            roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
-            placed = about.join(roots, "class", "left").select("class", "n_shingles", "bits", F.coalesce("root", "class").alias("root"), "failed")
-            more = second_round(signed, shared.staged(placed, "placed"), num, den, nearest).join(tested, ["a", "b"], "left_anti")
-            more = shared.staged(more, "more")
-            if not more.isEmpty():
-                tested = tested.union(more)
-                links = links.union(shared.staged(checked(more, classes, docs, width, num, den), "links"))
+    again = candidates.where("again").select("a", "b")
+    if not again.isEmpty():
+        # every link that is not known yet lies in a family: what links and large buckets tie together
+        families = connected_components(links.union(again), "a", "b").select(F.col("node").alias("class"), F.col("root").alias("family"))
+        roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
+        about = classes.join(families, "class").join(roots, "class", "left").select("class", "n_shingles", "bits", "holder", "family", F.coalesce("root", "class").alias("root"))
+        about = shared.staged(about, "families")
+        sets = class_sets(docs, shared.staged(about.select(F.col("holder").alias("doc_id")).distinct(), "ids"), width)
+        links = links.union(shared.staged(family_links(about.drop("holder"), sets, num, den), "links"))
     roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = classes.select("class", "holder").join(roots, "class", "left").join(ends, "class", "left")

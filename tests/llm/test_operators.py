@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from lethe.llm import decontamination, jaccard, licenses, line_dedup, mixing, quality_rules, resampling, suffix_dedup, token_counts, token_files, tokens
+from lethe.llm import decontamination, jaccard, kernels, licenses, line_dedup, mixing, quality_rules, resampling, suffix_dedup, token_counts, token_files, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gram long, class long, salt int, hash long, size long, copy int, stratum string, word string"
 EMPTY = "doc_id long, text string, lang string, source string"
@@ -421,3 +421,49 @@ def test_signatures_meet(size):
         if len(a) and 100 * common >= 80 * (len(a) + len(b) - common):
             frequent = jaccard.Frequent(base[rng.random(len(base)) < rng.choice([0, 0.3, 0.9, 1])])
             assert len(np.intersect1d(jaccard.signatures(a, bands, frequent), jaccard.signatures(b, bands, frequent)))
+
+
+def edited(words: list[str], places: list[int], mark: str) -> list[str]:
+    return [f"{mark}{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def bridged(rng: random.Random) -> tuple[list[str], list[str]]:
+    """Two families of 24 near copies whose only link ties two members that are least of no bucket."""
+    name = lambda words: jaccard.class_of(kernels.shingles(" ".join(words).encode()))
+    own = [k for k in range(12, 190, 6) if k not in (60, 66, 120, 126)][:23]
+    while True:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        one = [base, *[edited(base, [k], "u") for k in own]]
+        if max(one, key=name) == base:
+            break
+    while True:
+        far = edited(base, [6, 66, 126, 194], f"p{rng.randrange(10**6)}x")
+        two = [far, *[edited(far, [k + 2], "v") for k in own]]
+        if max(two, key=name) == far:
+            break
+    return [" ".join(w) for w in one], [" ".join(w) for w in two]
+
+
+def brute_links(texts: list[str]) -> tuple[list[int], list[int]]:
+    """Component (least index) and number of links of each of distinct texts."""
+    words = [t.split(" ") for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    root, links = list(range(len(texts))), [0] * len(texts)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            links[a], links[b] = links[a] + 1, links[b] + 1
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return root, links
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bridge_between_others_than_least(spark, seed):
+    """The families stand in tasks of their own."""
+    one, two = bridged(random.Random(seed))
+    root, links = brute_links(one + two)
+    assert set(root) == {0} and brute_links(one[1:] + two)[0].count(0) == len(one) - 1 and links[0] == len(one)
+    parts = [spark.createDataFrame([(k + first, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1) for first, texts in ((0, one), (len(one), two))]
+    found = by_id(jaccard.jaccard_components(parts[0].union(parts[1])))
+    assert {r.component_id for r in found.values()} == {0}
