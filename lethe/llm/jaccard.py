@@ -17,7 +17,7 @@ Classes that share a signature meet: all pairs in a bucket of up to SMALL classe
 least (round 1). Candidates are checked: sizes, then parity bitmaps (a lower bound of the difference, exact to
 reject), then the sets themselves (round 1). Classes that links or large buckets tie together are a family: no link leaves
 one. All pairs of a family meet again (round 2), by size, bitmap and sets inside the task, and only links between
-different components leave it.
+different components and each class's number of links leave it.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
 component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners.
@@ -355,18 +355,18 @@ def dealt(about: DataFrame) -> DataFrame:
     """
     size = about.groupBy("family").agg(F.lit(1).alias("parts"))
     split = about.join(size, "family").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return split.select("*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).drop("parts", "other")
 
 
 def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links that join the components of all classes of a family, by name of their present ones.
+    """a, b: links that join the components of all classes of a family, by name of their present ones; b null: class a has n links.
 
-    about: class, n_shingles, bits, root, family.
+    about: class, n_shingles, bits, root, family. A class has a count for each of the parts that it meets.
     """
 
     def resolve(tile: pa.Table) -> pa.RecordBatch:
-        n, root, low, high, mine = (tile.column(c).to_numpy() for c in ("n_shingles", "root", "low", "high", "mine"))
+        cls, n, root, low, high, mine = (tile.column(c).to_numpy() for c in ("class", "n_shingles", "root", "low", "high", "mine"))
         bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
         sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in tile.column("shingles")]
         sides = [[rows[k : k + SIDE] for k in range(0, len(rows), SIDE)] for rows in (np.flatnonzero(mine == low), np.flatnonzero(mine == high))]
@@ -377,16 +377,23 @@ def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 parent[x] = x = parent.setdefault(up, up)
             return x
 
-        edges = []
+        edges, n_links = [], np.zeros(len(n), np.int64)
         for at, x in enumerate(sides[0]):
             for y in sides[0][at:] if low[0] == high[0] else sides[1]:
                 i, k = linked_pairs(x, y, n, bits, sets, num, den)
+                n_links += np.bincount(np.concatenate([i, k]), minlength=len(n))
                 apart = root[i] != root[k]
                 for p, q in np.unique(np.stack([root[i], root[k]], 1)[apart], axis=0).tolist():
                     if top(p) != top(q):
                         parent[top(p)] = top(q)
                         edges.append((p, q))
-        return pa.RecordBatch.from_arrays([pa.array([e[side] for e in edges], pa.int64()) for side in (0, 1)], ["a", "b"])
+        some, none = np.flatnonzero(n_links), pa.nulls(len(edges), pa.int64())
+        columns = [
+            pa.concat_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array(cls[some])]),
+            pa.concat_arrays([pa.array([b for _, b in edges], pa.int64()), pa.nulls(len(some), pa.int64())]),
+            pa.concat_arrays([none, pa.array(n_links[some])]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -404,7 +411,7 @@ def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             yield resolve(pa.Table.from_batches(held))
 
     rows = dealt(about).join(sets, "class").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "n_shingles")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, n long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,6 +423,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, de
     frequent = frequent_shingles(docs, profile, width)
     candidates = shared.staged(candidate_pairs(signature_rows(docs, width, num, den, frequent)), "candidates")
     links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den), "links")
+    ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     again = candidates.where("again").select("a", "b")
     if not again.isEmpty():
         # every link that is not known yet lies in a family: what links and large buckets tie together
@@ -424,9 +432,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, de
         about = classes.join(families, "class").join(roots, "class", "left").select("class", "n_shingles", "bits", "holder", "family", F.coalesce("root", "class").alias("root"))
         about = shared.staged(about, "families")
         sets = class_sets(docs, shared.staged(about.select(F.col("holder").alias("doc_id")).distinct(), "ids"), width)
-        links = links.union(shared.staged(family_links(about.drop("holder"), sets, num, den), "links"))
+        found = shared.staged(family_links(about.drop("holder"), sets, num, den), "links")
+        links = links.union(found.where("b IS NOT NULL").select("a", "b"))
+        ends = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
     roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
-    ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = classes.select("class", "holder").join(roots, "class", "left").join(ends, "class", "left")
     named = named.select("class", "holder", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("holder").alias("component_id"))

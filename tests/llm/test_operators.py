@@ -467,3 +467,13 @@ def test_bridge_between_others_than_least(spark, seed):
     parts = [spark.createDataFrame([(k + first, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1) for first, texts in ((0, one), (len(one), two))]
     found = by_id(jaccard.jaccard_components(parts[0].union(parts[1])))
     assert {r.component_id for r in found.values()} == {0}
+
+
+def test_link_counts(spark):
+    """Links of a family are all counted."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(edited(base, rng.sample(range(200), rng.randint(1, 4)), f"e{n}x")) for n in range(60)]
+    root, links = brute_links(texts)
+    found = by_id(jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [(found[k].component_id, found[k].n_links) for k in range(60)] == list(zip(root, links)) and max(links) > 8
