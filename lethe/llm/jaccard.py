@@ -16,7 +16,7 @@ do not bring these together.
 Classes that share a signature meet: all pairs in a bucket of up to SMALL classes, in a larger one each with the
 least (round 1). Candidates are checked: sizes, then parity bitmaps (a lower bound of the difference, exact to
 reject), then the sets themselves (round 1). Classes that links or large buckets tie together are a family: no link leaves
-one. All pairs of a family meet again (round 2), by size, bitmap and sets inside the task, and only links between
+one. All pairs of a family meet again (round 2), two of its parts in a task, by size, bitmap and sets inside the task, and only links between
 different components and each class's number of links leave it.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
@@ -50,6 +50,8 @@ SAMPLE, MANY = 4000, 4
 SMALL = 8
 #: Classes that are compared with as many others at once, shingles that go into one product, and pairs up to which none is made.
 SIDE, COLUMNS, FEW = 256, 4096, 64
+#: A family is split into parts of PART classes, up to PARTS of them; then parts grow to 16 times that, or PART_SHINGLES, and no further.
+PART, PARTS, PART_SHINGLES = 256, 16, 1 << 21
 
 
 class Bands:
@@ -353,7 +355,9 @@ def dealt(about: DataFrame) -> DataFrame:
 
     mine: the part that the class is in; low < high asks for the pairs between two parts, low = high for those in one.
     """
-    size = about.groupBy("family").agg(F.lit(1).alias("parts"))
+    size = about.groupBy("family").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("held"))
+    few = F.least(F.ceil(F.col("size") / PART), F.lit(PARTS))
+    size = size.select("family", F.greatest(few, F.ceil(F.col("size") / (16 * PART)), F.ceil(F.col("held") / PART_SHINGLES)).cast("int").alias("parts"))
     split = about.join(size, "family").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return split.select("*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).drop("parts", "other")

@@ -469,8 +469,10 @@ def test_bridge_between_others_than_least(spark, seed):
     assert {r.component_id for r in found.values()} == {0}
 
 
-def test_link_counts(spark):
-    """Links of a family are all counted."""
+@pytest.mark.parametrize("part", [256, 7])
+def test_link_counts(spark, part, monkeypatch):
+    """Links of a family are all counted, however it is dealt."""
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(200)]
     texts = [" ".join(edited(base, rng.sample(range(200), rng.randint(1, 4)), f"e{n}x")) for n in range(60)]
