@@ -13,7 +13,7 @@ ends at a fresh place sets a boundary with the common prefix of that level; the
 boundary between them share ``length`` bytes; all but the earliest window of such a class are covered.
 
 A gram in many contexts within one task leaves it once per distinct context (combined before the shuffle). A gram with more than HOT
-distinct contexts is split by the hash of the single windows.
+distinct contexts is split into its single windows, which are compared by a 128-bit hash of their bytes, combined in the same way.
 
 Null text: no bytes. A null id counts as larger than all others. Rows that repeat an id are documents of their own,
 ordered by their texts.
@@ -88,20 +88,22 @@ def to_batch(columns: list[np.ndarray], names: list[str] = COLUMNS) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), kinds[n]) for c, n in zip(columns, names)], names)
 
 
+def combine(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Of equal contexts the first is kept to be compared; the others are covered."""
+    grams, ctx, doc, copy, first, count = (np.concatenate(c) for c in zip(*parts))
+    grams, ctx = grams.view(np.int64), ctx.view(np.int64)
+    order = np.lexsort((first, copy, doc, ctx, grams))
+    grams, ctx, doc, copy, first, count = (c[order] for c in (grams, ctx, doc, copy, first, count))
+    later = np.concatenate(([False], (grams[1:] == grams[:-1]) & (ctx[1:] == ctx[:-1])))
+    # a covered row has done with its gram: it travels under a key of its document
+    with np.errstate(over="ignore"):
+        key = np.where(later, mixed(doc.astype(np.uint64)).view(np.int64), grams)
+    return to_batch([np.where(later, COVER, FETCH), key, np.where(later, 0, ctx), doc, copy, first, count])
+
+
 def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Contexts of all texts. Of equal ones in a task the first is kept to be compared; the others are covered."""
 
-    def combine(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        grams, ctx, doc, copy, first, count = (np.concatenate(c) for c in zip(*parts))
-        grams, ctx = grams.view(np.int64), ctx.view(np.int64)
-        order = np.lexsort((first, copy, doc, ctx, grams))
-        grams, ctx, doc, copy, first, count = (c[order] for c in (grams, ctx, doc, copy, first, count))
-        later = np.concatenate(([False], (grams[1:] == grams[:-1]) & (ctx[1:] == ctx[:-1])))
-        # a covered row has done with its gram: it travels under a key of its document
-        with np.errstate(over="ignore"):
-            key = np.where(later, mixed(doc.astype(np.uint64)).view(np.int64), grams)
-        return to_batch([np.where(later, COVER, FETCH), key, np.where(later, 0, ctx), doc, copy, first, count])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -241,14 +243,34 @@ def covered_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> lis
     return [(*rows[owner[p]][:2], rows[owner[p]][2] + int(offset[p]), int(c)) for p, c in zip(later[fresh], count)]
 
 
+def window_rows(located: DataFrame, length: int) -> DataFrame:
+    """Single windows of hot grams by a 128-bit hash of their bytes. Of equal ones in a task the first is kept to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for doc, copy, text, wanted in zip(batch.column("doc_at").to_pylist(), batch.column("copy").to_pylist(), shared.texts_of(batch, "text"), batch.column("wanted").to_pylist()):
+                at = [s for w in wanted for s in range(w["first"], w["first"] + w["windows"])]
+                name = np.frombuffer(b"".join(hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in at), "<u8").reshape(-1, 2)
+                parts.append((name[:, 0], name[:, 1], np.full(len(at), doc), np.full(len(at), copy), np.array(at, np.int64), np.ones(len(at), np.int64)))
+                held += len(at)
+                if held >= FLUSH:
+                    yield combine(parts)
+                    parts, held = [], 0
+        if parts:
+            yield combine(parts)
+
+    return located.mapInArrow(run, ROWS)
+
+
 def expanded(needs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """doc_at, copy, first, windows that the transform finds covered."""
-    hot = needs.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
-    marked = needs.join(hot, "gram", "left").select("gram", "doc_at", "copy", "first", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))
-    listed = marked.groupBy("doc_at", "copy").agg(F.collect_list(F.struct("gram", "first", "windows", "hot")).alias("wanted"))
-    if needs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    joined = docs.join(listed, ["doc_at", "copy"])
+    hot = shared.staged(needs.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"), "hot")
+    few = needs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def located(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("doc_at", "copy").agg(F.collect_list(F.struct("gram", "first", "windows")).alias("wanted"))
+        return docs.join(F.broadcast(listed) if few else listed, ["doc_at", "copy"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,12 +278,7 @@ def expanded(needs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             for doc, copy, text, wanted in zip(batch.column("doc_at").to_pylist(), batch.column("copy").to_pylist(), shared.texts_of(batch, "text"), batch.column("wanted").to_pylist()):
                 for w in wanted:
                     first, windows = w["first"], w["windows"]
-                    if w["hot"]:
-                        for s in range(first, first + windows):
-                            one = text[s : s + length]
-                            out.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, copy, s, one))
-                    else:
-                        out.append((w["gram"], doc, copy, first, text[first : first + windows + length - 1]))
+                    out.append((w["gram"], doc, copy, first, text[first : first + windows + length - 1]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_at", "copy", "first", "bytes"])
@@ -286,8 +303,12 @@ def expanded(needs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    bytes_of = joined.mapInArrow(fetch, "gram long, doc_at long, copy int, first long, bytes binary")
-    return bytes_of.repartition("gram").sortWithinPartitions("gram").mapInArrow(expand, "doc_at long, copy int, first long, windows int")
+    bytes_of = located(needs.join(hot, "gram", "left_anti")).mapInArrow(fetch, "gram long, doc_at long, copy int, first long, bytes binary")
+    found = bytes_of.repartition("gram").sortWithinPartitions("gram").mapInArrow(expand, "doc_at long, copy int, first long, windows int")
+    if hot.isEmpty():
+        return found
+    single = compared(window_rows(located(needs.join(hot, "gram", "left_semi")), length))
+    return found.union(single.where(f"kind = {COVER}").select("doc_at", "copy", "first", "windows"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -241,6 +241,22 @@ def test_suffix_dedup(docs, rows, none, odd, monkeypatch, length, gram, batch, h
     assert sum(r.n_removed for r in suffix_dedup.remove_repeats(odd, 20, 8).collect()) == 2 * len("same words in this text here")
 
 
+def test_shared_passage_leaves_a_task_once(spark, monkeypatch):
+    """A passage in many surroundings: its windows go on once a task, not once a document."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    sent, rows_of = [], suffix_dedup.window_rows
+    monkeypatch.setattr(suffix_dedup, "window_rows", lambda *a: sent.append(rows_of(*a)) or sent[-1])
+    rng = random.Random(6)
+    passage = sentence(rng, 60)
+    texts = [(k, sentence(rng, 20) + passage + sentence(rng, 20)) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2).cache()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert found == brute_spans(texts, 100)
+    kinds = Counter(r.kind for r in sent[0].collect())
+    going = sent[0].where(f"kind = {suffix_dedup.FETCH}").groupBy("gram", "context").count()
+    assert kinds[suffix_dedup.COVER] and going.where("count > 2").isEmpty()
+
+
 def test_sorted_suffixes_and_boundaries():
     rng = np.random.default_rng(2)
     data = np.append(rng.integers(97, 99, 400), 255).astype(np.uint8)
