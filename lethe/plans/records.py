@@ -93,6 +93,14 @@ def connected_groups(spark: SparkSession, folder: str) -> DataFrame:
     return connected_components(edges, "a", "b")
 
 
+@register("connected_groups_all")
+def connected_groups_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and suppliers that any line ties together: the graph of the whole table, mostly one component (no SQL: its closure is quadratic)."""
+    rows = table(spark, folder, "lineitem")
+    edges = rows.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
+    return connected_components(edges, "a", "b")
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.ceil("value").cast("long").alias("amount"))
 

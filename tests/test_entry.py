@@ -51,3 +51,18 @@ def test_entry(spark):
 
     assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_connected_groups_of_all_lines(spark, duck):
+    parent: dict[str, str] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for order, supplier in duck.sql("SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem").fetchall():
+        low, high = sorted((top(order), top(supplier)))
+        parent[high] = low
+    found = registry.queries()["connected_groups_all"](spark, FOLDER)
+    assert sorted((r.node, r.root) for r in found.collect()) == sorted((x, top(x)) for x in list(parent))
