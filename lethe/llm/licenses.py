@@ -54,7 +54,9 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Words that may stand between two notices of one expression.
 NEAR = 8
 
-_TAG_TEXT = re.compile(r"(?i)spdx[^0-9a-z]+license[^0-9a-z]+identifier[^0-9a-z(\n]*([^\n]*)")
+_TAG = r"spdx[^0-9a-z]+license[^0-9a-z]+identifier"
+#: What stands behind a tag, up to the line's end or the next tag.
+_TAG_TEXT = re.compile(rf"(?i){_TAG}[^0-9a-z(\n]*([^\n]*?)(?=(?<![0-9a-z]){_TAG}|\n|\Z)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 

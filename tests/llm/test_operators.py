@@ -85,6 +85,12 @@ def test_license_base(docs, rows, none, odd, spark):
     assert found[4].labels == "mit" and found[4].base_labels == ""
 
 
+def test_two_tags_on_one_line():
+    text = b"SPDX-License-Identifier: MIT OR ISC SPDX-License-Identifier: GPL-2.0"
+    assert licenses.scan(text, licenses.automaton())[5:] == ("gpl-2.0,isc,mit", 0.3)
+    assert licenses.scan(text.replace(b" SPDX", b"\nSPDX"), licenses.automaton())[5:] == ("gpl-2.0,isc,mit", 0.3)
+
+
 def test_shunting_yard():
     assert licenses.shunting_yard("a or b and c".split()) == ["a", "b", "c", "and", "or"]
     assert licenses.shunting_yard(["(", "a", "or", "b", ")", "and", "c", "with", "x"]) == ["a", "b", "or", "c", "x", "with", "and"]
