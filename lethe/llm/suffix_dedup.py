@@ -5,7 +5,7 @@ the same document). Matches never cross documents and are judged on the input.
 
 A window of ``length`` bytes selects the least of its GRAM-byte gram hashes (the leftmost of equals). The choice depends on
 the window's bytes only, so equal windows select equal grams at the same offset. Each run of windows that select one gram is a
-context. Contexts go to the task of their gram: those that equal an earlier context byte for byte are covered as a
+context. Contexts go to the task of their gram: those that equal an earlier context (by 64-bit hash) are covered as a
 whole, grams with one distinct context hold no repeat, and only distinct contexts of one gram fetch their bytes.
 There, for batches of whole grams, the transform of all contexts is built (suffixes sorted by their first ``length``
 bytes), and intervals of single bytes are extended backwards one byte at a time, breadth first. Every extension that
