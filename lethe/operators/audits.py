@@ -50,3 +50,26 @@ def long_metrics(rows: DataFrame, key: str, metrics: list[str], bounds: DataFram
     long = rows.select(key, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)"))
     joined = long.join(bounds.select("metric", "bound"), "metric", "left").withColumn("bound", F.coalesce("bound", F.lit(default)))
     return joined.select(key, "metric", "value", "bound", F.coalesce(F.col("value") > F.col("bound"), F.lit(False)).alias("crossed"))
+
+
+def flattened(rows: DataFrame, key: str) -> DataFrame:
+    """key, path, value of each leaf of the other columns; a struct's fields follow a dot, values are text."""
+    leaves: list[tuple[str, Column]] = []
+
+    def walk(name: str, value: Column, kind) -> None:
+        if hasattr(kind, "fields"):
+            for field in kind.fields:
+                walk(f"{name}.{field.name}", value[field.name], field.dataType)
+        else:
+            leaves.append((name, value.cast("string")))
+
+    for field in rows.schema.fields:
+        if field.name != key:
+            walk(field.name, F.col(field.name), field.dataType)
+    return rows.select(key, F.inline(F.array(*[F.struct(F.lit(name).alias("path"), value.alias("value")) for name, value in leaves])))
+
+
+def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, path, old, new of each leaf that one of two nested records lacks or has with another value."""
+    a, b = flattened(old, key).withColumnRenamed("value", "old"), flattened(new, key).withColumnRenamed("value", "new")
+    return a.join(b, [key, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "path", "old", "new")
