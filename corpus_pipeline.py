@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that with the smallest id; of rows that repeat an id, one."""
-    found = shared.staged(jaccard.jaccard_components(docs), "components")
+    found = shared.staged(jaccard.jaccard_components(docs, count_links=False), "components")
     kept = shared.by_ids(docs, shared.staged(found.where("doc_id != component_id").select("doc_id").distinct(), "copies"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

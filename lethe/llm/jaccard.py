@@ -1,23 +1,25 @@
-"""Operator 10: n-gram Jaccard join with PartEnum signatures, and its components.
-
-Sets are the distinct 5-word shingles of a text. Documents of one set are one class (named by a 64-bit hash of the set),
-so copies never pair. Sizes fall into bands whose ends are 1/threshold apart; a set takes part in the instances of its own and the
-next band. In an instance with largest size u, linked sets differ in at most k = 2u(1-t)/(1+t) shingles. The hash
-domain is cut into n > k partitions, so linked sets agree on n - k of them at least. The signature of a partition is a
-hash of its whole content. (The subsets that PartEnum enumerates are single partitions here: no difference is allowed
-inside one, which needs the fewest signatures.)
-
-Partitions that hold a shingle which is not frequent come first: the first agreeing one of linked sets is among the
-first k + 1 of either. A set with n - k or more other partitions signs these as well (the first k + 1 filled ones, and
-the empty ones if there are so many), since then all agreeing ones might be among them. No link is lost, whatever
-counts as frequent: shingles in MANY classes of a sample of SAMPLE documents do, so passages that many documents share
-do not bring these together.
+"""Operator 10: n-gram Jaccard join with PartEnum signatures (Arasu et al., 2006), and its components.
+
+Sets are the distinct 5-word shingles of a text. Documents of one set are one class (named by a 64-bit hash of the set; sets
+that a second hash tells apart take that one as their name), so copies never pair. Sizes fall into bands whose ends are
+1/threshold apart; a set takes part in the instances of its own and the next band. Linked sets differ in at most
+d = (|A| + |B|)(1 - t)/(1 + t) shingles. An instance cuts the hash domain into n1 groups and each group into n2 cells; with n1 >
+d/2 groups, linked sets differ by at most one shingle in some group, and so agree on all but one of its cells. The signatures
+of a group are hashes of each subset of n2 - 1 cells, with their whole content.
+
+A set bounds d by its own size and the largest partner in the instance, so it signs only as many groups as it needs. Subsets
+without a telling shingle are left out: shingles in MANY classes of a sample of SAMPLE documents are frequent, all others tell.
+A group is rich if all its subsets tell. A set signs the telling subsets of its leading groups up to the (d/2 + 1)-th rich one.
+Of these rich ones linked sets agree on one, and the set that stops first has it within the leading groups of both. A
+set with fewer rich groups signs all subsets of all groups. So no link is lost, whatever counts as frequent, and passages that many
+documents share do not bring these together.
 
 Classes that share a signature meet: all pairs in a bucket of up to SMALL classes, in a larger one each with the
 least (round 1). Candidates are checked: sizes, then parity bitmaps (a lower bound of the difference, exact to
 reject), then the sets themselves (round 1). Classes that links or large buckets tie together are a family: no link leaves
 one. All pairs of a family meet again (round 2), two of its parts in a task, by size, bitmap and sets inside the task, and only links between
-different components and each class's number of links leave it.
+different components and each class's number of links leave it. Without ``count_links`` only pairs of different components
+meet in round 2, and families of one component stay out of it.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
 component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners.
@@ -25,7 +27,7 @@ component's name unless all its ids are null. Rows that repeat an id are nodes o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from .kernels import MULTIPLIER, mixed, shingles, starts
 NUMERATOR, DENOMINATOR = 80, 100
 BITS = 512
 #: Rows of signatures that a task gathers before it hands them on.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 #: Documents that are looked at for frequent shingles, and the classes of them that make a shingle frequent.
 SAMPLE, MANY = 4000, 4
@@ -52,6 +54,7 @@ SMALL = 8
 SIDE, COLUMNS, FEW = 256, 4096, 64
 #: A family is split into parts of PART classes, up to PARTS of them; then parts grow to 16 times that, or PART_SHINGLES, and no further.
 PART, PARTS, PART_SHINGLES = 256, 16, 1 << 21
+DOUBTFUL = 1000
 
 
 class Bands:
@@ -66,12 +69,29 @@ class Bands:
             self.high.append((self.high[-1] + 1) * self.den // self.num)
         return int(np.searchsorted(self.high, size))
 
-    def instance(self, band: int) -> tuple[int, int]:
-        """Most differing shingles k, and partitions, of the instance that pairs this band with itself and the one below."""
+    def top(self, band: int) -> int:
+        """The largest size of a band."""
         while len(self.high) <= band:
             self.high.append((self.high[-1] + 1) * self.den // self.num)
-        k = 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
-        return k, k + 1 + (max(2, k // 5) if k else 0)
+        return self.high[band]
+
+    def apart(self, one: int, other: int) -> int:
+        """Shingles in which linked sets of these sizes differ at most."""
+        return (one + other) * (self.den - self.num) // (self.den + self.num)
+
+    def instance(self, band: int) -> tuple[int, int]:
+        """Groups and cells a group of the instance that pairs this band with itself and the one below."""
+        bad = self.apart(self.top(band), self.top(band)) // 2
+        cells = 8 if bad == 0 else 5 if bad < 3 else 3  # small sets take more cells: one then seldom holds all of a group
+        return bad + 1 + bad // 6, cells
+
+    def needed(self, size: int, band: int) -> int:
+        """Rich groups that a set of this size signs in the instance; 0 if it can have no partner but its equals."""
+        largest = min(self.top(band), size * self.den // self.num)
+        if largest <= (self.top(band - 1) if band > self.of(size) else 0):
+            return 0
+        apart = self.apart(size, largest)
+        return apart // 2 + 1 if apart else 0
 
 
 class Frequent:
@@ -97,6 +117,22 @@ def class_of(found: np.ndarray) -> int:
         return int(mixed(mixed(found ^ MULTIPLIER).sum(keepdims=True) + np.uint64(len(found))).view(np.int64)[0])
 
 
+def other_name(found: np.ndarray) -> int:
+    """A second, independent name."""
+    with np.errstate(over="ignore"):
+        return int(mixed(mixed(found + EMPTY).sum(keepdims=True) * MULTIPLIER + np.uint64(len(found))).view(np.int64)[0])
+
+
+def namer(doubtful: frozenset[int]) -> Callable[[np.ndarray], int]:
+    """Gives a set's name, its second one if other sets bear the first as well."""
+
+    def named(found: np.ndarray) -> int:
+        name = class_of(found)
+        return other_name(found) if name in doubtful else name
+
+    return named
+
+
 def parity(found: np.ndarray) -> bytes:
     """Bit b is set if an odd number of shingles falls on it; two bitmaps differ in no more bits than the sets in shingles."""
     return np.packbits(np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
@@ -104,30 +140,35 @@ def parity(found: np.ndarray) -> bytes:
 
 def signatures(found: np.ndarray, bands: Bands, frequent: Frequent) -> np.ndarray:
     """Signatures of a set (sorted distinct hashes) in both of its instances."""
-    out = []
+    out = [np.empty(0, np.uint64)]
     with np.errstate(over="ignore"):
         inner, high, telling = mixed(found + EMPTY), found >> np.uint64(32), ~frequent.holds(found)
         band = bands.of(len(found))
         for name in (band, band + 1):
-            k, n = bands.instance(name)
-            part = (high * np.uint64(n)) >> np.uint64(32)
-            first = starts(part)
-            sums, filled = np.add.reduceat(inner, first), part[first]
-            salt = np.uint64(name + 1) * MULTIPLIER
-            signed = sums + filled + np.uint64(1)
-            leading = np.logical_or.reduceat(telling, first)
-            chosen = signed[leading]
-            out.append(mixed(mixed(chosen[: k + 1]) + salt))
-            if n - len(chosen) >= n - k:  # all agreeing partitions may be others
-                out.append(mixed(mixed(signed[~leading][: k + 1]) + salt))
-                if n - len(filled) >= n - k:
-                    empty = np.setdiff1d(np.arange(n, dtype=np.uint64), filled)
-                    out.append(mixed(mixed(EMPTY + empty) + salt))
+            needed = bands.needed(len(found), name)
+            if not needed:
+                continue
+            n1, n2 = bands.instance(name)
+            cell = ((high * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+            first = starts(cell)
+            sums = np.zeros(n1 * n2, np.uint64)
+            sums[cell[first]] = np.add.reduceat(inner, first)
+            sums, tells = sums.reshape(n1, n2), np.bincount(cell[telling], minlength=n1 * n2).reshape(n1, n2)
+            rest = sums.sum(1, keepdims=True) - sums  # of all cells but one
+            tag = mixed(np.arange(1, n1 * n2 + 1, dtype=np.uint64) * MULTIPLIER + np.uint64(name)).reshape(n1, n2)
+            signed = mixed(rest + tag)
+            some = tells.sum(1, keepdims=True) > tells
+            rich = np.cumsum(some.all(1))
+            if rich[-1] >= needed:
+                leading = int(np.searchsorted(rich, needed)) + 1
+                out.append(signed[:leading][some[:leading]])
+            else:
+                out.append(signed.ravel())
     return np.concatenate(out)
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without words), bits."""
+    """doc_id, n_shingles, class and other (its names; null without words), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,11 +176,34 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([other_name(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "class", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "class", "other", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, other long, bits binary")
+
+
+def told_apart(profile: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """profile with a class for each set, classes (class, n_shingles, bits, holder), and the names that several sets bear.
+
+    Of 10 billion sets a few share a 64-bit name; over DOUBTFUL such names would mean that the hash is broken.
+    """
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        found = rows.where("class IS NOT NULL").groupBy("class").agg(
+            F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"), (F.min("other") != F.max("other")).alias("several")
+        )
+        return shared.staged(found, "classes")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
+    classes = grouped(profile)
+    doubtful = frozenset(row["class"] for row in classes.where("several").select("class").limit(DOUBTFUL + 1).collect())
+    if len(doubtful) > DOUBTFUL:
+        raise ValueError("too many sets share a name")
+    if doubtful:
+        profile = profile.withColumn("class", F.when(F.col("class").isin(list(doubtful)), F.col("other")).otherwise(F.col("class")))
+        classes = grouped(profile)
+    return profile, classes.drop("several"), doubtful
 
 
 def frequent_shingles(docs: DataFrame, profile: DataFrame, width: int) -> Frequent:
@@ -161,9 +225,10 @@ def runs_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(first, append=len(sig))
 
 
-def signature_rows(docs: DataFrame, width: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+def signature_rows(docs: DataFrame, width: int, num: int, den: int, frequent: Frequent, doubtful: frozenset[int]) -> DataFrame:
     """signature, a, b. b null: class a has the signature; b = a: more than SMALL classes of the task have it and a is the
     least. Else a link to check between the least class a and b, under a key of its own."""
+    named = namer(doubtful)
 
     def combine(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((cls, sig))
@@ -197,7 +262,7 @@ def signature_rows(docs: DataFrame, width: int, num: int, den: int, frequent: Fr
                 found = shingles(text, width)
                 if len(found):
                     sigs.append(signatures(found, bands, frequent).view(np.int64))
-                    classes.append(np.full(len(sigs[-1]), class_of(found), np.int64))
+                    classes.append(np.full(len(sigs[-1]), named(found), np.int64))
                     held += len(sigs[-1])
                 if held >= FLUSH:
                     yield combine(np.concatenate(sigs), np.concatenate(classes))
@@ -262,18 +327,19 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again"))
 
 
-def class_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def class_sets(docs: DataFrame, ids: DataFrame, width: int, doubtful: frozenset[int]) -> DataFrame:
     """class, shingles of the documents in ``ids``."""
+    named = namer(doubtful)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(text, width) for text in shared.texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([named(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
 
     return shared.staged(shared.by_ids(docs, ids, "left_semi").mapInArrow(run, "class long, shingles binary").where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
 
 
-def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, doubtful: frozenset[int]) -> DataFrame:
     """a, b of ``pairs`` whose sets reach the threshold. classes: class, n_shingles, bits, holder."""
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"), F.col("holder").alias(f"holder_{side}")), side)
@@ -290,7 +356,7 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     likely = shared.staged(sized.mapInArrow(near, "a long, b long, holder_a long, holder_b long"), "pairs")
     ids = shared.staged(likely.select(F.col("holder_a").alias("doc_id")).union(likely.select("holder_b")).distinct(), "ids")
 
-    sets = class_sets(docs, ids, width)
+    sets = class_sets(docs, ids, width, doubtful)
     both = likely.select("a", "b")
     for side in ("b", "a"):
         both = both.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
@@ -332,10 +398,12 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The linked ones of all pairs of rows ``x`` and ``y``; of x and x each pair once."""
+def linked_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The linked ones of all pairs of rows ``x`` and ``y``; of x and x each pair once. apart: only pairs that differ in it."""
     one, two = n[x][:, None], n[y][None, :]
     maybe = den * np.minimum(one, two) >= num * np.maximum(one, two)
+    if apart is not None:
+        maybe &= apart[x][:, None] != apart[y][None, :]
     if x is y:
         maybe = np.triu(maybe, 1)
     if maybe.any():
@@ -363,7 +431,7 @@ def dealt(about: DataFrame) -> DataFrame:
     return split.select("*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).drop("parts", "other")
 
 
-def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def family_links(about: DataFrame, sets: DataFrame, num: int, den: int, count_links: bool) -> DataFrame:
     """a, b: links that join the components of all classes of a family, by name of their present ones; b null: class a has n links.
 
     about: class, n_shingles, bits, root, family. A class has a count for each of the parts that it meets.
@@ -384,7 +452,7 @@ def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         edges, n_links = [], np.zeros(len(n), np.int64)
         for at, x in enumerate(sides[0]):
             for y in sides[0][at:] if low[0] == high[0] else sides[1]:
-                i, k = linked_pairs(x, y, n, bits, sets, num, den)
+                i, k = linked_pairs(x, y, n, bits, sets, num, den, None if count_links else root)
                 n_links += np.bincount(np.concatenate([i, k]), minlength=len(n))
                 apart = root[i] != root[k]
                 for p, q in np.unique(np.stack([root[i], root[k]], 1)[apart], axis=0).tolist():
@@ -418,15 +486,15 @@ def family_links(about: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return rows.mapInArrow(run, "a long, b long, n long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of its class to other classes) for each row of ``docs``."""
+def jaccard_components(
+    docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least id with the same set) and n_links (links of its class to other classes; null if not counted)."""
     docs = shared.id_and_text(docs, id_col, text_col)
-    profile = shared.staged(profiles(docs, width), "profiles")
-    classes = profile.where("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
-    classes = shared.staged(classes, "classes")
+    profile, classes, doubtful = told_apart(shared.staged(profiles(docs, width), "profiles"))
     frequent = frequent_shingles(docs, profile, width)
-    candidates = shared.staged(candidate_pairs(signature_rows(docs, width, num, den, frequent)), "candidates")
-    links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den), "links")
+    candidates = shared.staged(candidate_pairs(signature_rows(docs, width, num, den, frequent, doubtful)), "candidates")
+    links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den, doubtful), "links")
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     again = candidates.where("again").select("a", "b")
     if not again.isEmpty():
@@ -434,18 +502,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = NUMERATOR, de
         families = connected_components(links.union(again), "a", "b").select(F.col("node").alias("class"), F.col("root").alias("family"))
         roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
         about = classes.join(families, "class").join(roots, "class", "left").select("class", "n_shingles", "bits", "holder", "family", F.coalesce("root", "class").alias("root"))
+        if not count_links:
+            split = about.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("family")
+            about = about.join(split, "family", "left_semi")
         about = shared.staged(about, "families")
-        sets = class_sets(docs, shared.staged(about.select(F.col("holder").alias("doc_id")).distinct(), "ids"), width)
-        found = shared.staged(family_links(about.drop("holder"), sets, num, den), "links")
+        sets = class_sets(docs, shared.staged(about.select(F.col("holder").alias("doc_id")).distinct(), "ids"), width, doubtful)
+        found = shared.staged(family_links(about.drop("holder"), sets, num, den, count_links), "links")
         links = links.union(found.where("b IS NOT NULL").select("a", "b"))
         ends = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
     roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
     named = classes.select("class", "holder").join(roots, "class", "left").join(ends, "class", "left")
     named = named.select("class", "holder", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("holder").alias("component_id"))
-    final = named.join(least, "root").select("class", "component_id", "n_links")
+    final = named.join(least, "root").select("class", "component_id", F.col("holder").alias("class_id"), "n_links")
     out = profile.select("doc_id", "n_shingles", "class").join(final, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

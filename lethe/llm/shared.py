@@ -23,8 +23,18 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
         yield value.as_py()
 
 
+#: Bytes of texts that go to Python at once; a batch is held several times over, on either side.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, under names of its own, so that other columns cannot clash."""
+    """Only the two columns an operator reads, under names of its own, so that other columns cannot clash.
+
+    Batches of more than BATCH_BYTES are turned down to that in the session: 10,000 texts may be far more than a worker holds.
+    """
+    conf = docs.sparkSession.conf
+    if int((conf.get(BATCH_CONF, None) or "0").rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_CONF, BATCH_BYTES)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -170,9 +170,26 @@ def test_odd_characters(seed):
         assert np.frombuffer(got, "<u4").tolist() == right.ids, repr(text)
     path = tokens.published(token_counts.VOCABULARY)
     encoder = token_counts.ChunkEncoder(path)
+    several = 0
     for text, right in zip(texts, tokens.load(path).encode_batch(texts, add_special_tokens=False)):
-        at = token_counts.cuts(encoder, text, 12, 6)
-        assert sum(encoder.counts([text[a:b] for a, b in zip(at, at[1:])])) == len(right.ids), repr(text)
+        n, chunks = token_counts.count_chunks(encoder, text, 12, 6)
+        several += chunks > 1
+        assert n == len(right.ids) == encoder.counts([text])[0], repr(text)
+    assert several > 50
+
+
+def test_overlaps_widen():
+    """Runs longer than the overlap, longer than a chunk, and a text without white space."""
+    path = tokens.published(token_counts.VOCABULARY)
+    encoder, library = token_counts.ChunkEncoder(path), tokens.load(path)
+    rng = random.Random(9)
+    for run in (3, 40, 90, 300):
+        text = " ".join("".join(rng.choices("abcdefgé.-", k=rng.randint(1, run))) for _ in range(60))
+        for overlap in (4, 30):
+            n, chunks = token_counts.count_chunks(encoder, text, 80, overlap)
+            assert n == len(library.encode(text, add_special_tokens=False).ids)
+            assert chunks > 1 or run > 80
+    assert token_counts.count_chunks(encoder, "x" * 1000, 80, 8) == (len(library.encode("x" * 1000, add_special_tokens=False).ids), 1)
 
 
 # 4
@@ -415,28 +432,45 @@ def test_jaccard(docs, rows, none, odd, monkeypatch, small):
             x = parent[x]
         return x
 
-    links = Counter()
+    partners = defaultdict(set)
     for a, b in itertools.combinations(sets, 2):
         common = len(sets[a] & sets[b])
         if sets[a] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common) and sets[b]:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-            links[a] += sets[a] != sets[b]
+            if sets[a] != sets[b]:
+                partners[a].add(b)
+                partners[b].add(a)
     found = by_id(jaccard.jaccard_components(docs))
     for i in sets:
         assert (found[i].n_shingles, found[i].component_id) == (len(sets[i]), root(i))
+        assert found[i].n_links == len({frozenset(sets[k]) for k in partners[i]})
+        assert found[i].class_id == min(k for k in sets if sets[k] == sets[i]) or not sets[i]
     assert jaccard.jaccard_components(none).count() == 0
     ids = sorted(str(r.component_id) for r in jaccard.jaccard_components(odd).collect())
     assert ids == ["1", "1", "1", "1", "None"]
 
 
-@pytest.mark.parametrize("size", [1, 3, 4, 5, 9, 30, 200])
+def test_names_that_several_sets_bear(spark, docs, monkeypatch):
+    """Sets with one 64-bit name are told apart by the second one."""
+    right = {(r.doc_id, r.component_id, r.class_id, r.n_links) for r in jaccard.jaccard_components(docs).collect()}
+    monkeypatch.setattr(jaccard, "class_of", lambda found: int(found.sum() % 40))
+    assert {(r.doc_id, r.component_id, r.class_id, r.n_links) for r in jaccard.jaccard_components(docs).collect()} == right
+
+
+def test_components_without_counts(docs):
+    right = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    found = jaccard.jaccard_components(docs, count_links=False).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == right and {r.n_links for r in found} == {None}
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 5, 6, 9, 14, 20, 30, 60, 200, 700])
 def test_signatures_meet(size):
     """Any two sets that reach the threshold share a signature, whatever counts as frequent."""
     rng = np.random.default_rng(size)
     bands = jaccard.Bands(80, 100)
-    for trial in range(60):
-        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+    for trial in range(200):
+        base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
         a, b = base[rng.random(len(base)) > 0.05], np.concatenate([base, rng.integers(0, 2**63, rng.integers(0, size // 6 + 1), dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
         common = len(np.intersect1d(a, b))
