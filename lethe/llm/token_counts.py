@@ -1,21 +1,25 @@
 """Operator 3: token counts with overlap resynchronisation.
 
-A text is encoded in overlapping chunks of ``chunk`` characters with offsets; an ordinary text is one chunk. Two
-neighbouring chunks are spliced at a boundary that is proven stable and common: both encodings have a token that
-starts there, the character is the first of a non-space run, and the run before it lies in both chunks from its
-start. The normalizer (NFC, white space, lower case) and the pre-tokenizer treat such runs alone, so the tokens on
-either side do not depend on what lies beyond. If the overlap holds no such boundary it is widened, at last to the
-whole rest of the text. Within a chunk, a run that has been encoded before takes its ids from a bounded cache.
-
-Null text: empty, no tokens. One row per row of the input; no shuffle.
+A text of more than ``chunk`` characters is encoded in overlapping chunks with offsets, and its tokens are counted from these
+encodings. Two neighbouring chunks are spliced at a stable common boundary: the first character of a non-space run at which a
+token starts in either encoding, after a run that lies in both chunks and that both have cut into the same tokens. The
+normalizer (NFC, white space, lower case) and the pre-tokenizer treat such runs alone, so the tokens on either side do not
+depend on what lies beyond. The last such boundary of the overlap is taken. If there is none, the overlap is widened to the
+left, twofold each time; when it holds the whole left chunk, the chunk grows to the right instead, at last to the text's end.
+A text of one chunk is encoded run by run, and a run that has been encoded before takes its count from a bounded cache.
+
+Null text: empty, no tokens. One row per row of the input; no shuffle. Repeated rows and ids are counted each.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared, tokens
@@ -26,61 +30,69 @@ CHUNK, OVERLAP, LIMIT = 1 << 14, 256, 2048
 _RUN = re.compile(r"[^ \t\n\r]+")
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """The encoding of text[begin:end]: where its tokens start in the text."""
+
+    begin: int
+    end: int
+    starts: list[int]
+
+    def index(self, at: int) -> int:
+        """Tokens before place ``at``."""
+        return bisect_left(self.starts, at)
+
+    def between(self, a: int, b: int) -> list[int]:
+        return self.starts[self.index(a) : self.index(b)]
+
+
 class ChunkEncoder:
-    """Token counts and offsets of a chunk."""
+    """Token counts of short texts, and encodings of chunks."""
 
     def __init__(self, path: str):
         self.cache = tokens.count_cache(path)
         self.tokenizer = self.cache.tokenizer
 
-    def counts(self, chunks: list[str]) -> list[int]:
-        """Tokens of each chunk: each run of non-space characters is encoded by the library once."""
-        cut = [_RUN.findall(chunk) if "\t" in chunk or "\r" in chunk else chunk.replace("\n", " ").split(" ") for chunk in chunks]
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: each run of non-space characters is encoded by the library once."""
+        cut = [_RUN.findall(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ") for text in texts]
         return [sum(found) for found in self.cache.values(cut)]
 
-    def offsets(self, text: str, start: int) -> dict[int, int]:
-        """For a text that begins at ``start``: the token starts, each with the number of tokens before it."""
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        out: dict[int, int] = {}
-        for k, (at, _) in enumerate(found.offsets):
-            out.setdefault(start + at, k)
-        return out
-
+    def chunk(self, text: str, begin: int, end: int) -> Chunk:
+        found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
+        return Chunk(begin, end, [begin + at for at, _ in found.offsets])
 
-def splice(encoder: ChunkEncoder, text: str, end: int, overlap: int) -> tuple[int, int, int] | None:
-    """A stable boundary in text[end - overlap:end]: (place, tokens of the overlap before it, tokens from it on), or None.
 
-    The left chunk ends at ``end``, the right one starts at ``end - overlap``. Only the overlap is encoded with offsets,
-    once as the left chunk sees it and once with what follows, as the right chunk sees it.
-    """
-    begin = end - overlap
-    beyond = min(len(text), end + overlap)
-    left, right = encoder.offsets(text[begin:end], begin), encoder.offsets(text[begin:beyond], begin)
+def common_boundary(left: Chunk, right: Chunk, text: str, after: int) -> int | None:
+    """The last stable place beyond ``after`` in the overlap of two chunks, None if there is none."""
     # the first run may be the rest of a cut one and the last run may go on: neither is used
-    runs = list(_RUN.finditer(text, begin, end))[1:-1]
-    for run in reversed(runs):
-        at = run.start()
-        if at in left and at in right and left[at] == right[at]:
-            return at, left[at], right[at]
+    runs = list(_RUN.finditer(text, right.begin, left.end))
+    for k in range(len(runs) - 2, 1, -1):
+        at, before = runs[k].start(), runs[k - 1].start()
+        if at <= after:
+            return None
+        ours, theirs = left.between(before, at + 1), right.between(before, at + 1)
+        if ours == theirs and ours and ours[-1] == at:
+            return at
     return None
 
 
-def cuts(encoder: ChunkEncoder, text: str, chunk: int, overlap: int) -> list[int]:
-    """Where the chunks of a text are spliced, 0 and its length included."""
-    out, begin = [0], 0
-    while len(text) - begin > chunk:
-        end, width = begin + chunk, overlap
-        while (found := splice(encoder, text, end, min(width, end - begin))) is None:
+def count_chunks(encoder: ChunkEncoder, text: str, chunk: int, overlap: int) -> tuple[int, int]:
+    """Tokens of a text and the number of chunks that they come from."""
+    left, cut, total, used = encoder.chunk(text, 0, min(chunk, len(text))), 0, 0, 1
+    while left.end < len(text):
+        width, at = overlap, None
+        while at is None and width < left.end - cut:
+            begin = left.end - width
+            right = encoder.chunk(text, begin, min(len(text), max(begin + chunk, left.end + overlap)))
+            at = common_boundary(left, right, text, cut)
             width *= 2
-            if width > end - begin:  # no boundary in the whole chunk: the chunk grows as well
-                end = min(len(text), end + width)
-                if end == len(text):
-                    break
-        if found is None:
-            break
-        begin = found[0]
-        out.append(begin)
-    return [*out, len(text)]
+        if at is None:  # the rest from the last cut on, in a longer chunk
+            left = encoder.chunk(text, cut, min(len(text), left.end + chunk + width))
+            continue
+        total += left.index(at) - left.index(cut)
+        left, cut, used = right, at, used + 1
+    return total + len(left.starts) - left.index(cut), used
 
 
 def count_tokens(
@@ -91,13 +103,11 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path or tokens.published(VOCABULARY))
         for batch in batches:
-            sizes, counts, chunks = [], [], []
-            for raw in shared.texts_of(batch, "text"):
-                text = raw.decode("utf-8", "replace")
-                at = cuts(encoder, text, chunk, overlap)
-                sizes.append(len(raw))
-                chunks.append(len(at) - 1)
-                counts.append(sum(encoder.counts([text[a:b] for a, b in zip(at, at[1:])])))
+            texts = [raw.decode("utf-8", "replace") for raw in shared.texts_of(batch, "text")]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            short = iter(encoder.counts([text for text in texts if len(text) <= chunk]))
+            found = [(next(short), 1) if len(text) <= chunk else count_chunks(encoder, text, chunk, overlap) for text in texts]
+            counts, chunks = [n for n, _ in found], [k for _, k in found]
             columns = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(chunks, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
