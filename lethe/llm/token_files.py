@@ -5,6 +5,9 @@ Layout of a shard (all integers little-endian):
   an index of one entry per document (i64 id or NULL_ID, u64 offset of the frame, u32 frame bytes, u64 number of ids),
   then one zstandard frame per document over its ids. A single document is read by its index entry alone.
 
+A folder of token files holds ``shards`` (a Parquet table, a shard a row, see SHARDS) and ``meta`` (one row: version, bytes per id,
+end id, vocabulary file and the dictionary itself); ``open_files`` reads it in any session.
+
 The dictionary is trained on the serialized id arrays of a bounded sample: the SAMPLE_DOCS documents with the smallest
 id hashes, SAMPLE_IDS ids of each at most. All documents are range-partitioned by id and sorted; each task encodes,
 compresses and packs shards of about ``shard_bytes``, and Spark's Parquet writer commits the shards (a lost
@@ -37,7 +40,8 @@ HEAD, ENTRY = struct.Struct("<4sHHI32s"), struct.Struct("<qQIQ")
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 1 << 16
 SHARD_BYTES, LEVEL = 1 << 22, 1
 SHARDS = "part int, seq int, first_id long, last_id long, n_docs int, n_ids long, ids_before long, shard binary"
-BATCH_ROWS = 256
+#: Texts, and characters of texts, that are encoded together.
+BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
 
 
 def narrow(ids: bytes, width: int) -> bytes:
@@ -45,13 +49,14 @@ def narrow(ids: bytes, width: int) -> bytes:
 
 
 def encoded(rows: Iterator[tuple[int | None, str]], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
-    """Ids of whole texts with the end id, as u32, BATCH_ROWS texts at a time."""
-    end, held = struct.pack("<I", end_id), []
+    """Ids of whole texts with the end id, as u32, a batch of texts at a time."""
+    end, held, size = struct.pack("<I", end_id), [], 0
     for row in rows:
         held.append(row)
-        if len(held) == BATCH_ROWS:
+        size += len(row[1])
+        if len(held) == BATCH_ROWS or size >= BATCH_CHARS:
             yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path)])
-            held = []
+            held, size = [], 0
     if held:
         yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path)])
 
@@ -107,10 +112,14 @@ def unpack(shard: bytes, raw_dictionary: bytes, only: int | None = None) -> Iter
         yield None if doc_id == NULL_ID else doc_id, ids
 
 
+META = "version int, width int, end_id int, vocabulary string, sha256 string, dictionary binary"
+
+
 @dataclass(frozen=True)
 class TokenFiles:
-    """Shards as written (see SHARDS) and the dictionary that they name by hash."""
+    """Token files in a folder: shards as written (see SHARDS) and the dictionary that they name by hash."""
 
+    path: str
     shards: DataFrame
     dictionary: bytes
 
@@ -140,6 +149,14 @@ class TokenFiles:
         return [ids.tolist() for row in near.toLocalIterator() for _, ids in unpack(bytes(row.shard), self.dictionary, doc_id)]
 
 
+def open_files(spark: SparkSession, folder: str) -> TokenFiles:
+    """Token files that ``write_tokens`` has left in ``folder``."""
+    meta = spark.read.schema(META).parquet(f"{folder}/meta").first()
+    if meta is None or meta.version != VERSION or hashlib.sha256(bytes(meta.dictionary)).hexdigest() != meta.sha256:
+        raise ValueError(f"{folder}: no token files of this version")
+    return TokenFiles(folder, spark.read.schema(SHARDS).parquet(f"{folder}/shards"), bytes(meta.dictionary))
+
+
 def write_tokens(
     docs: DataFrame,
     path: str | None = None,
@@ -147,9 +164,13 @@ def write_tokens(
     shard_bytes: int = SHARD_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    folder: str | None = None,
 ) -> TokenFiles:
-    """Encode ``docs`` and write shards in ascending id order into the shared folder."""
-    path = path or tokens.published(VOCABULARY)
+    """Encode ``docs`` and write token files in ascending id order into ``folder`` (a new one in the shared folder if not given).
+
+    path: the vocabulary file, on every machine. Files that stand in ``folder`` are replaced.
+    """
+    path, folder = path or tokens.published(VOCABULARY), folder or shared.new_folder(docs.sparkSession, "tokens")
     docs = shared.id_and_text(docs, id_col, text_col)
     width = 2 if max(tokens.load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     raw = train_dictionary(docs, path, width, end_id)
@@ -178,7 +199,11 @@ def write_tokens(
             yield full()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return TokenFiles(shared.staged(ordered.mapInArrow(run, SHARDS), "tokens"), raw)
+    ordered.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(f"{folder}/shards")
+    spark = docs.sparkSession
+    meta = [(VERSION, width, end_id, path.rsplit("/", 1)[-1], digest.hex(), bytearray(raw))]
+    spark.createDataFrame(meta, META).coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+    return open_files(spark, folder)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

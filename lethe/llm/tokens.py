@@ -18,8 +18,9 @@ from typing import Any
 #: Pieces in each of the cache's two generations; about 150 bytes each.
 CACHE_PIECES = 600_000
 MARKS = (",", ".")
-#: How byte-level models write a space.
-SPACE_MARK = "\u0120"
+#: How byte-level models write bytes: printable ones as they are, the others from U+0100 on, in order.
+BYTE_MARKS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512)))
+SPACE_MARK = chr(BYTE_MARKS[32])
 
 
 def published(name: str) -> str:
@@ -65,11 +66,14 @@ class PieceCache:
         if marked:  # a comma or full stop after a letter at the end of a piece is a token of its own
             stems = {piece[:-1] for piece in marked}.union(MARKS).difference(self.young).difference(missing)
             missing += stems
-        if self.plain:  # a space and ASCII letters are one pre-token: the model alone gives its ids
-            words = [piece for piece in missing if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())]
+        if self.plain:  # a space and letters are one pre-token: the model alone gives its ids
+            words = [piece for piece in missing if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and (piece.isascii() or max(piece) < "\u0250")]
             model = self.tokenizer.model
             for piece in words:
-                written = SPACE_MARK + piece[1:] if piece[0] == " " else piece
+                if piece.isascii():
+                    written = SPACE_MARK + piece[1:] if piece[0] == " " else piece
+                else:
+                    written = piece.encode().decode("latin-1").translate(BYTE_MARKS)
                 self.young[piece] = self.value([token.id for token in model.tokenize(written)])
             missing = list(set(missing).difference(words))
         for k in range(0, len(missing), 4096):

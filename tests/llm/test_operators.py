@@ -216,7 +216,7 @@ def test_line_dedup(docs, rows, none, odd, monkeypatch):
 # 5
 
 
-def test_token_files(docs, rows, none, odd):
+def test_token_files(spark, docs, rows, none, odd):
     library = tokens.load(tokens.published(token_files.VOCABULARY))
     files = token_files.write_tokens(docs, shard_bytes=2000)
     assert files.shards.count() > 3
@@ -228,6 +228,10 @@ def test_token_files(docs, rows, none, odd):
         start += len(ids)
         if i % 40 == 0:
             assert files.document(i) == [ids]
+    again = token_files.open_files(spark, files.path)  # as another session would
+    assert again.dictionary == files.dictionary and again.document(40) == files.document(40) and by_id(again.digests()) == found
+    folder = f"{files.path}-own"
+    assert token_files.write_tokens(docs.limit(3), folder=folder).path == folder and token_files.open_files(spark, folder).digests().count() == 3
     shard = bytes(files.shards.first().shard)
     with pytest.raises(ValueError):
         list(token_files.unpack(shard, files.dictionary + b"x"))
