@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +10,7 @@ from lethe.plans.scores import r, rounded
 from lethe.registry import register
 from lethe.sources import sinks, tables
 from lethe.sources.tables import table
-from lethe.storage import shared_dir
-
-
-def fresh(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lethe-{label}-{uuid.uuid4().hex}"
+from lethe.storage import new_folder
 
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +22,7 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def staged_lines(spark: SparkSession, folder: str) -> DataFrame:
-    path = fresh(spark, "lines")
+    path = new_folder(spark, "lines")
     transfer.json_lines(event_lines(spark, folder), path)
     return tables.json_rows(spark, path, "event_id long, user_id long, kind string, value double")
 
@@ -55,7 +49,7 @@ def last_lines(spark: SparkSession, folder: str) -> DataFrame:
 )
 def row_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of declared number ranges of a CSV file, by the number that each row carries."""
-    path = fresh(spark, "csv")
+    path = new_folder(spark, "csv")
     sinks.write_csv(table(spark, folder, "customer").select("c_custkey", "c_name"), path)
     return tables.csv_rows(spark, path, "c_custkey long, c_name string").where("c_custkey BETWEEN 20 AND 39 OR c_custkey BETWEEN 100 AND 119")
 
@@ -63,7 +57,7 @@ def row_slices(spark: SparkSession, folder: str) -> DataFrame:
 @register("csv_round_trip", "SELECT page_id, url, md5(html) AS digest FROM pages")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with quotes, commas and line breaks, written as CSV and read back."""
-    path = fresh(spark, "csv")
+    path = new_folder(spark, "csv")
     sinks.write_csv(table(spark, folder, "pages"), path)
     rows = spark.read.schema("page_id long, url string, html string").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return rows.select("page_id", "url", F.md5("html").alias("digest"))
@@ -81,7 +75,7 @@ def corpora(spark: SparkSession, folder: str) -> DataFrame:
     )
     ordered = lambda role: F.transform(F.array_sort(F.collect_list(F.when(role, F.struct(F.col("turn").alias("t"), entry.alias("e"))))), lambda x: x["e"])
     rows = table(spark, folder, "conversations").groupBy("conv_id").agg(ordered(F.col("role") == "user").alias("train"), ordered(F.col("role") != "user").alias("eval"))
-    path = fresh(spark, "corpora")
+    path = new_folder(spark, "corpora")
     rows.write.json(path)
     pair = "array<struct<_id: long, ec: string, direction: string, language: string, Q: string, A: string>>"
     return spark.read.schema(f"conv_id long, train {pair}, eval {pair}").json(path)
@@ -114,7 +108,7 @@ def log_epochs(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda c: F.regexp_replace(F.format_number(c, 2), ",", "")
     line = F.format_string("10:00 INFO run %d epoch %d/40 loss=%s rate=%s", F.col("user_id"), F.col("event_id") % 40, number(F.round("value", 2)), number(F.round(F.col("event_id") / 8, 2)))
     noise = F.when(F.col("event_type") == "error", F.lit("WARN epoch lost x=1")).otherwise(line)
-    path = fresh(spark, "log")
+    path = new_folder(spark, "log")
     table(spark, folder, "events").where("value IS NOT NULL").select(noise.alias("value")).write.text(path)
     found = transfer.log_epochs(spark.read.text(path).withColumn("run", F.regexp_extract("value", r"\brun (\d+)", 1).try_cast("long")))
     return rounded(found.select("run", "epoch", F.col("metrics")["loss"].alias("loss"), F.col("metrics")["rate"].alias("rate")))
@@ -130,12 +124,12 @@ LEDGER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice do
 def export_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """An export read back, and three that are refused: changed rows, a target that is in use, lost rows."""
     rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    path = fresh(spark, "export")
+    path = new_folder(spark, "export")
     transfer.export(rows, path)
     whole = transfer.imported(spark, path, LEDGER).agg(F.lit("ok").alias("status"), F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     refused = transfer.check_import(spark, path, LEDGER, rows)
     for change in (rows.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") == 5, 1).otherwise(0)), rows.where("o_orderkey != 5")):
-        other = fresh(spark, "export")
+        other = new_folder(spark, "export")
         sinks.write_json(change, f"{other}/rows")
         transfer.manifest_of(spark, path).write.json(f"{other}/manifest")
         refused = refused.union(transfer.check_import(spark, other, LEDGER))
@@ -148,7 +142,7 @@ def export_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 )
 def snapshot_verified(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of files held to its manifest of digests: one entry is wrong, one names no file."""
-    path = fresh(spark, "snapshot")
+    path = new_folder(spark, "snapshot")
     rows = table(spark, folder, "customer").select(F.lower("c_mktsegment").alias("file"), F.concat_ws(",", "c_custkey", "c_name").alias("value"))
     rows.repartition("file").sortWithinPartitions("file", "value").write.partitionBy("file").text(path)
     found = transfer.file_digests(spark, path, "*.txt").withColumn("path", F.regexp_extract("path", "file=([^/]+)/", 1))
@@ -160,7 +154,7 @@ def snapshot_verified(spark: SparkSession, folder: str) -> DataFrame:
 @register("columns_added", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS o_custkey FROM orders")
 def columns_added(spark: SparkSession, folder: str) -> DataFrame:
     """A table to which later appends have added a column: older rows have it as null."""
-    path = fresh(spark, "evolving")
+    path = new_folder(spark, "evolving")
     rows = table(spark, folder, "orders")
     sinks.append(rows.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), path)
     sinks.append(rows.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus", "o_custkey"), path)
