@@ -3,10 +3,12 @@
 One pass computes each text's metrics with SQL functions only. Every rule compares a share with a cutoff from a fixed
 grid. Labelled documents are the holdout: for each stratum (language), rule and cutoff, the good ones that would be
 rejected are counted, and the exact binomial tail tests the hypothesis that the rule rejects a share of RISK or more
-of the stratum's good documents. Cutoffs whose p-value is at most DELTA / number of tests (Bonferroni) are safe: with
-probability 1 - DELTA no rule of any stratum rejects more. Of the safe cutoffs the one that rejects most bad documents
+of the stratum's good documents. A rule's cutoffs are tested in a fixed sequence, from the highest down to the first that fails,
+each at DELTA / number of rules and strata (Bonferroni over these; the sequence needs no further correction): with
+probability 1 - DELTA no rule of any stratum rejects more. Of the cutoffs that pass the one that rejects most bad documents
 is taken (ties: fewest good ones, then the highest); a rule that would reject no bad document, or has no safe cutoff,
-is off in that stratum.
+is off in that stratum. With no false rejection at all a stratum needs ln(DELTA / tests) / ln(1 - RISK) good labelled documents:
+1151 for 4 strata and 4 rules.
 
 n_repeat_words counts words in 8-word windows found twice or more in the text, by sorting window hashes within the
 row. Null or empty texts have no words and fail the base rules. A null language is a stratum of its own. Rows that
@@ -128,7 +130,10 @@ def safe_cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     above = lambda field: F.aggregate(F.filter("cells", lambda c: c["passed"] > F.col("at")), F.lit(0).cast("long"), lambda n, c: n + c[field])
     tests = tests.select("stratum", "rule", "cutoff", "n_good", above("good").alias("false_rejects"), above("bad").alias("hits"))
     tests = tests.withColumn("p", lower_tail(F.col("n_good").cast("double"), F.col("false_rejects").cast("double"), risk))
-    safe = tests.withColumn("tests", F.count("*").over(Window.partitionBy())).where((F.col("p") <= F.lit(delta) / F.col("tests")) & (F.col("hits") > 0))
+    # one row for each stratum, rule and cutoff
+    tests = tests.withColumn("level", F.lit(delta * len(GRID)) / F.count("*").over(Window.partitionBy()))
+    down = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
+    safe = tests.withColumn("passes", F.bool_and(F.col("p") <= F.col("level")).over(down)).where(F.col("passes") & (F.col("hits") > 0))
     best = safe.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("hits", -F.col("false_rejects"), "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
@@ -173,7 +178,8 @@ t AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*)
   FROM r, (SELECT unnest({_GRID_SQL}) AS cutoff) GROUP BY ALL),
 p AS (SELECT *, count(*) OVER () AS tests, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE
   list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END AS p FROM t),
-b AS (SELECT stratum, rule, cutoff FROM p WHERE p <= {DELTA} / tests AND hits > 0
+o AS (SELECT *, bool_and(p <= {DELTA} * {len(GRID)} / tests) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS passes FROM p),
+b AS (SELECT stratum, rule, cutoff FROM o WHERE passes AND hits > 0
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY hits DESC, k, cutoff DESC) = 1),
 c AS (SELECT stratum, max(cutoff) FILTER (WHERE rule = 'symbols') AS c1, max(cutoff) FILTER (WHERE rule = 'shouts') AS c2,
   max(cutoff) FILTER (WHERE rule = 'dup_lines') AS c3, max(cutoff) FILTER (WHERE rule = 'repeats') AS c4 FROM b GROUP BY stratum),

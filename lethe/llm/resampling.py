@@ -2,19 +2,21 @@
 
 Two generative models over hashed byte n-grams (lower-cased ASCII, GRAM bytes): one of target text (documents
 labelled good and not toxic), one of raw text (all documents). An n-gram counts once per document. It falls into one bucket of each of
-ROWS hash rows; the weaker of the rows' ratios holds, so that a collision in one row does no harm.
-A bucket's ratio is that end of its confidence interval (Z standard deviations of the square-root-transformed count) that
-lies nearer to 1: n-grams without evidence weigh nothing, whatever the text's length. Ratios above 1 count as 1, since
-otherwise long texts would gain by length. A document's log weight is the sum over its distinct n-grams.
+ROWS hash rows; of the rows' log ratios the one nearest to 0 holds, and 0 if their signs differ, so that a collision in one row does no harm.
+A bucket's log ratio of target to raw is that of the end of its confidence interval (Z standard deviations of the square-root-transformed
+count) which lies nearer to 1: n-grams without evidence weigh nothing, whatever the text's length. A document's log weight is
+the mean of the positive ratios over its distinct n-grams plus the sum of the negative ones: length does not buy weight, nor does it
+hide what speaks against a text.
 
-The cut: k is the number of documents whose weight reaches the SPARE quantile of the target documents in a holdout (every
-HOLDOUT-th labelled document by hash, not used by the models). k documents are drawn without replacement in proportion to
-weight ** SHARPNESS by Gumbel top-k; the noise is a hash of the id, so reruns agree. The k-th key is found by a histogram
-that is refined around it; nothing is sorted.
+The cut: k documents are drawn without replacement in proportion to weight ** SHARPNESS by Gumbel top-k; the noise is a hash of the
+id, so reruns agree. k is ``budget`` (a share of all documents) if given, else the number of documents whose weight reaches the
+SPARE quantile of the target documents in a holdout (every HOLDOUT-th labelled document by hash, not used by the models). The k-th
+key is found by a histogram that is refined around it; nothing is sorted.
 
 The models are fitted on LABELLED labelled rows at most, those with the smallest id hashes; raw counts, weights and the cut
-cover all documents. Without labels, target documents or documents there is no evidence and everything is kept. Null text: no
-n-grams, weight 1. A null id gets the noise of its own. Rows that repeat an id are weighed each; ties at the cut stay.
+cover all documents and whole texts, long ones in pieces. Without labels, target documents or documents there is no evidence and everything is kept.
+Null text: no n-grams, weight 1. A null id gets the noise of its own. Rows that repeat an id are weighed each; ties at the cut all
+stay. Columns beyond the two that are read play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         chunk, held = None, None
         for batch in batches:
             for name, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                row = np.frombuffer(raw, "<i8" if name == -1 or len(raw) == 16 * CHUNK else "<u4").astype(np.int64)
+                row = np.frombuffer(raw, "<i8" if name == -1 else "<u4").astype(np.int64)
                 if name == chunk:
                     held += row
                 else:
@@ -112,12 +114,22 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
-    """ROWS x buckets: log of target against raw, 0 without evidence, never above 0."""
+    """ROWS x buckets: log of target against raw at the near end of its interval, 0 without evidence."""
     if not n_raw or not n_target:
         return np.zeros(raw.shape, np.float32)
-    expected = raw * (n_target / n_raw)
+    expected = np.maximum(raw * (n_target / n_raw), 1e-12)
     upper = (np.sqrt(target + 1.0) + Z / 2) ** 2
-    return np.log(np.minimum(1.0, upper / np.maximum(expected, 1e-12))).astype(np.float32)
+    lower = np.maximum(np.sqrt(target.astype(float)) - Z / 2, 0.0) ** 2
+    return (np.log(np.minimum(1.0, upper / expected)) + np.log(np.maximum(1.0, lower / expected))).astype(np.float32)
+
+
+def log_weight(found: np.ndarray, table: np.ndarray) -> float:
+    """Log weight of a text whose n-grams fall into the buckets ``found`` (ROWS x n)."""
+    if not found.size:
+        return 0.0
+    each = np.stack([table[r, found[r]] for r in range(ROWS)])
+    against = np.minimum(each.max(0), 0).sum(dtype=float)
+    return float(np.maximum(each.min(0), 0).mean(dtype=float) + against)
 
 
 def gumbel(id_col: Column) -> Column:
@@ -144,8 +156,8 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_weight, key, kept for each row of ``docs``."""
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float | None = None) -> DataFrame:
+    """doc_id, log_weight, key, kept for each row of ``docs``. budget: the share of them to draw, estimated if not given."""
     docs = shared.id_and_text(docs, id_col, text_col)
     known = F.broadcast(labelled(labels).select(F.col("doc_id"), "target", "holdout"))  # LABELLED rows at most
     marked = docs.join(known, "doc_id", "left")
@@ -156,20 +168,19 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared_ratios.value
         for batch in batches:
-            weights = []
-            for text in shared.texts_of(batch, "text"):
-                found = buckets(text)
-                weights.append(float(np.max([table[r, found[r]] for r in range(ROWS)], 0).sum()) if found.size else 0.0)
+            weights = [log_weight(buckets(text), table) for text in shared.texts_of(batch, "text")]
             columns = [batch.column("doc_id"), pa.array(weights, pa.float64()), batch.column("held_out")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "log_weight", "held_out"])
 
     held_out = F.coalesce(F.col("target") & F.col("holdout"), F.lit(False)).alias("held_out")
     weighed = marked.select("doc_id", "text", held_out).mapInArrow(run, "doc_id long, log_weight double, held_out boolean")
     weighed = shared.staged(weighed.withColumn("key", SHARPNESS * F.col("log_weight") + gumbel(F.col("doc_id"))), "weights")
-    least = weighed.where("held_out").agg(F.expr(f"percentile(log_weight, {SPARE})")).first()[0]
-    cut = float("-inf")
-    if least is not None and (k := weighed.where(F.col("log_weight") >= least).count()):
-        cut = kth_largest(weighed, k)
+    if budget is None:
+        least = weighed.where("held_out").agg(F.expr(f"percentile(log_weight, {SPARE})")).first()[0]
+        k = weighed.where(F.col("log_weight") >= least).count() if least is not None else 0
+    else:
+        k = round(budget * weighed.count())
+    cut = kth_largest(weighed, k) if k else float("-inf" if budget is None else "inf")
     return weighed.select("doc_id", "log_weight", "key", (F.col("key") >= cut).alias("kept"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -368,6 +369,49 @@ def test_resampling_held_out(spark, none, odd):
     assert resampling.weigh(odd, labels.limit(0)).where("kept").count() == 5
 
 
+def test_resampling_brute_force(spark, monkeypatch):
+    """Counts, weights and the draw against plain dictionaries: null, short, long and equal texts, null and repeated ids, clashing columns."""
+    monkeypatch.setattr(resampling, "PIECE", 500)
+    docs, labels = labelled_corpus(spark)
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 600").collect()] + [(601, None), (602, "abc"), (603, "vileword " * 400), (603, "Same text"), (604, "Same text"), (None, "Same text")]
+    known = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.collect()}
+    held = {r.doc_id for r in resampling.labelled(labels).where("holdout").collect()}
+    grams = [{t.encode().lower()[k : k + 5] for k in range(len(t.encode()) - 4)} if t else set() for _, t in rows]
+    name = lambda g: resampling.buckets(g)[:, 0].tolist()
+    place = {g: name(g) for g in set().union(*grams)}
+    raw, target = ([Counter() for _ in range(resampling.ROWS)] for _ in range(2))
+    fit = [known.get(i, False) and i not in held for i, _ in rows]
+    for found, good in zip(grams, fit):
+        for g in found:
+            for r, b in enumerate(place[g]):
+                raw[r][b] += 1
+                target[r][b] += good
+    ratio, z = sum(fit) / len(rows), resampling.Z / 2
+
+    def of_bucket(r, b):
+        expected, n = raw[r][b] * ratio, target[r][b]
+        low, high = max(n**0.5 - z, 0) ** 2 / expected, ((n + 1) ** 0.5 + z) ** 2 / expected
+        return math.log(low) if low > 1 else math.log(high) if high < 1 else 0.0
+
+    expected = []
+    for found in grams:
+        each = [[of_bucket(r, b) for r, b in enumerate(place[g])] for g in found]
+        mean = sum(max(min(e), 0) for e in each) / max(len(each), 1)
+        expected.append(mean + sum(min(max(e), 0) for e in each))
+    table = spark.createDataFrame([(*row, 1, 2.0) for row in rows], "doc_id long, text string, key int, log_weight double").repartition(3)
+    got = resampling.weigh(table, labels).collect()
+    key = lambda w: (w[0] is None, w[0] or 0, w[1])
+    assert len(got) == len(rows)
+    for g, e in zip(sorted(((r.doc_id, r.log_weight) for r in got), key=key), sorted(zip([i for i, _ in rows], expected), key=key)):
+        assert g[0] == e[0] and g[1] == pytest.approx(e[1], abs=1e-3)
+    spare = np.quantile([w for (i, _), w in zip(rows, expected) if known.get(i) and i in held], resampling.SPARE)
+    k = sum(r.log_weight >= spare - 1e-6 for r in got)
+    keys = sorted((r.key for r in got), reverse=True)
+    assert {r.key for r in got if r.kept} == {x for x in keys if x >= keys[k - 1] - 1e-9} and k < len(rows)
+    half = resampling.weigh(table, labels, budget=0.5).where("kept").count()
+    assert abs(half - len(rows) / 2) <= 2 and resampling.weigh(table, labels, budget=0.0).where("kept").count() == 0
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.gauss(0, 100) for _ in range(2000)] + [5.0] * 50
@@ -417,6 +461,53 @@ def test_safe_cutoffs(spark):
     assert quality_rules.safe_cutoffs(found, labels.limit(100)).count() == 0  # too few for the bound
 
 
+def test_judge_with_live_cutoffs(spark):
+    """Rules that are on, against plain counting: two strata and a null one, ties between cutoffs, unlabelled rows, a stratum that is too small."""
+    from math import comb
+
+    rng = random.Random(12)
+    texts, labels = [], []
+    for i in range(5200):
+        stratum = rng.choice(["en", "en", "de", None]) if i < 5000 else "small"
+        words = [f"w{rng.randrange(900)}" for _ in range(30)]
+        bad = rng.random() < 0.2
+        for _ in range(rng.choice([3, 12, 20]) if bad else rng.choices([0, 1, 2], [300, 3, 1])[0]):
+            words[rng.randrange(30)] = rng.choice(["###", "&&&&"])
+        if bad and rng.random() < 0.3:
+            words += ["now!!!!!!!!!!!!!!!!"] * 3
+        texts.append((i, " ".join(words), stratum))
+        if i % 4:
+            labels.append((i, int(not bad)))
+    label = dict(labels)
+
+    def share(rule, text):
+        n = len(text.split(" "))
+        return {"symbols": len(re.findall(r"[#*$%&|<>]", text)) / n, "shouts": text.count("!") / n, "dup_lines": 0.0, "repeats": 0.0}[rule]
+
+    strata, expected, live = ["en", "de", None, "small"], {}, 0
+    risk, delta = 0.02, 0.05
+    for s in strata:
+        for rule in quality_rules.RULES:
+            rows = [(share(rule, t), label[i]) for i, t, x in texts if x == s and i in label]
+            n, found = sum(good for _, good in rows), []
+            for c in sorted(quality_rules.GRID, reverse=True):
+                k, hits = sum(good for v, good in rows if v > c), sum(not good for v, good in rows if v > c)
+                p = 1.0 if k >= n * risk else sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))
+                if p > delta / (len(strata) * len(quality_rules.RULES)):
+                    break
+                if hits:
+                    found.append((hits, -k, c))
+            if found:
+                expected[s, rule] = max(found)[2]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"), risk, delta).collect()}
+    for i, text, s in texts:
+        out = any(share(rule, text) > expected[s, rule] for rule in quality_rules.RULES if (s, rule) in expected)
+        live += out
+        assert got[i] == (not out), (i, s, text)
+    assert {s for s, _ in expected} == {"en", "de", None} and ("en", "shouts") in expected and live > 500
+
+
 # 10
 
 
