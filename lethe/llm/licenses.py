@@ -3,12 +3,14 @@
 One Aho-Corasick automaton runs over each whole text, reduced to lower-case words between single spaces.
 It finds base phrases, further notice phrases and identifier tags. The expression behind a tag
 (``MIT OR Apache-2.0 WITH LLVM-exception``) goes through a shunting-yard parser; notices that stand
-close together and are joined by and/or/with form an expression as well. ``score`` is the permissiveness
-of all statements: ``and`` takes the lowest, ``or`` the highest, ``with`` goes half the way to 1; a text
+close together and are joined by and/or/with form an expression as well: of several such words between two notices the last
+one holds, of none ``and``. What stands behind ``with`` counts as an exception of what stands before it. ``score`` is the
+permissiveness of all statements: ``and`` takes the lowest, ``or`` the highest, ``with`` goes half the way to 1; a text
 without any statement scores 0.
 
-Null and empty texts have no words and no statements; a null id stays null; a repeated row gives its result again.
-The work is one narrow pass over the text (no shuffle).
+Null and empty texts have no words and no statements; a null id stays null; a repeated row gives its result again. A text is
+scanned whole in time proportional to its length; of notices that start at one word the longest counts for the score, all
+for the labels. The work is one narrow pass over the text (no shuffle).
 """
 
 from __future__ import annotations
@@ -40,6 +42,17 @@ NOTICE_PHRASES = {
     "cc by nd": "cc-by-nd",
     "cc0": "cc0",
     "all rights reserved": "proprietary",
+    "boost software license": "bsl",
+    "business source license": "busl",
+    "server side public license": "sspl",
+    "artistic license": "artistic",
+    "zlib license": "zlib",
+    "sil open font license": "ofl",
+    "european union public license": "eupl",
+    "common development and distribution license": "cddl",
+    "python software foundation license": "psf",
+    "open database license": "odbl",
+    "do what the fuck you want to public license": "wtfpl",
 }
 TAG = "spdx license identifier"
 #: How permissive a licence is, from 0 to 1; a licence that is not listed counts as UNKNOWN.
@@ -47,7 +60,8 @@ PERMISSIVENESS = {
     "public-domain": 1.0, "cc0": 1.0, "cc0-1.0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "mit": 0.95, "isc": 0.95, "bsd": 0.95,
     "bsd-2-clause": 0.95, "bsd-3-clause": 0.95, "apache": 0.9, "apache-2.0": 0.9, "cc-by": 0.8, "cc-by-4.0": 0.8,
     "mpl": 0.6, "mpl-2.0": 0.6, "epl": 0.6, "epl-2.0": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2,
-    "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
+    "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0, "wtfpl": 1.0, "bsl": 0.95, "zlib": 0.95, "x11": 0.95, "ncsa": 0.95,
+    "postgresql": 0.95, "python": 0.9, "psf": 0.9, "artistic": 0.7, "ofl": 0.7, "cddl": 0.6, "eupl": 0.5, "odbl": 0.5, "sspl": 0.1, "busl": 0.1,
 }
 UNKNOWN = 0.1
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -148,10 +162,11 @@ def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
     base: set[str] = set()
     labels: set[str] = set()
     notices: list[tuple[int, int, str]] = []
-    tagged = False
+    tagged, seen, spaces = False, 0, 0
     for end, (phrase, label, is_base) in finder.iter(joined):
-        start = end - len(phrase) - 1
-        at = joined.count(" ", 0, start + 1) - 1
+        spaces += joined.count(" ", seen, end + 1)
+        seen = end + 1  # matches come by their ends
+        at = spaces - 2 - phrase.count(" ")
         if not label:
             tagged = True
             continue
@@ -171,7 +186,7 @@ def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
             if tokens:
                 gap = words[reach:start]
                 near = [w.decode() for w in gap if w in (b"and", b"or", b"with")] if len(gap) <= NEAR else []
-                tokens.append("or" if "or" in near else "and")
+                tokens.append(near[-1] if near else "and")
             tokens.append(label)
             reach = end
         score = evaluated(tokens)[0]

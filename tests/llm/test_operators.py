@@ -86,6 +86,31 @@ def test_license_base(docs, rows, none, odd, spark):
     assert found[4].labels == "mit" and found[4].base_labels == ""
 
 
+def test_license_places(spark):
+    """Words, places and labels of base phrases against a plain search, on texts made of phrases and their parts."""
+    rng = random.Random(21)
+    parts = ["GNU", "general", "Public License", "gnu general public license", "Apache", "license", "apache-license", "CC BY", "cc", "by", "MIT", "MIT License", "é", "mit license", "cc by nc", "and", "with", "x1", "|", "\n"]
+    texts = ["".join(p + rng.choice([" ", ", ", "\n", "--", ""]) for p in rng.choices(parts, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", "mit license " * 3000]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    found = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    several = 0
+    for i, text in enumerate(texts):
+        words = word.findall((text or "").translate(LOWER))
+        hits = [(k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split(" ")]
+        row = found[i]
+        assert (row.n_words, row.n_base) == (len(words), len(hits)), repr(text)
+        assert (row.first_word, row.last_word) == (min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None))
+        base = {label for _, label in hits}
+        assert row.base_labels == ",".join(sorted(base)) and base <= set(row.labels.split(",")) | ({""} if not base else set()) and 0 <= row.score <= 1
+        several += len(hits) > 2
+    assert several > 50
+
+
+@pytest.mark.parametrize(("text", "score"), [("gpl", 0.0), ("GNU General Public License and MIT License", 0.3), ("GNU General Public License with MIT License", 0.65), ("GNU General Public License or MIT License", 0.95), ("GNU General Public License and/or MIT License", 0.95)])
+def test_words_between_notices(text, score):
+    assert licenses.scan(text.encode(), licenses.automaton())[6] == pytest.approx(score)
+
+
 def test_two_tags_on_one_line():
     text = b"SPDX-License-Identifier: MIT OR ISC SPDX-License-Identifier: GPL-2.0"
     assert licenses.scan(text, licenses.automaton())[5:] == ("gpl-2.0,isc,mit", 0.3)
