@@ -117,7 +117,16 @@ def qa_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return datasets.turns(table(spark, folder, "conversations"))
 
 
-@register("rouge_l_turns")
+#: The table of the longest common subsequence, a row for each word of the answer; a row's values are running maxima.
+ROUGE_SQL = r"""WITH RECURSIVE t AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS a, regexp_extract_all(coalesce(answer, ''), '[^ \t\n\x0B\f\r]+') AS b FROM t WHERE role = 'user' AND next_role = 'assistant'),
+f AS (SELECT conv_id, turn, a, b, 0 AS k, list_transform(a, lambda x: 0) AS best FROM p
+UNION ALL SELECT conv_id, turn, a, b, k + 1, list_transform(range(1, len(a) + 1), lambda j: list_max(step[1:j])) FROM
+(SELECT *, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] = b[k + 1] THEN 1 + CASE WHEN i > 1 THEN best[i - 1] ELSE 0 END ELSE best[i] END) AS step FROM f WHERE k < len(b)))
+SELECT conv_id, turn, """ + r("CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2.0 * best[len(a)] / (len(a) + len(b)) END", "rouge_l") + " FROM f WHERE k = len(b)"
+
+
+@register("rouge_l_turns", ROUGE_SQL)
 def rouge_l_turns(spark: SparkSession, folder: str) -> DataFrame:
     pairs = datasets.turns(table(spark, folder, "conversations"))
     return rounded(pairs.select("conv_id", "turn", text.rouge_l(F.col("question"), F.col("answer")).alias("rouge_l")))

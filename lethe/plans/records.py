@@ -105,12 +105,29 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.ceil("value").cast("long").alias("amount"))
 
 
-@register("budget_fold")
+#: Folds as recursion over the numbered rows of each key.
+BUDGET_SQL = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, CAST(ceil(value) AS BIGINT) AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE value IS NOT NULL),
+f AS (SELECT *, amount <= 500 AS accepted, CASE WHEN amount <= 500 THEN amount ELSE 0 END AS spent FROM e WHERE rn = 1
+UNION ALL SELECT e.*, f.spent + e.amount <= 500, f.spent + CASE WHEN f.spent + e.amount <= 500 THEN e.amount ELSE 0 END FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+SELECT key, seq, amount, accepted, spent FROM f"""
+STOP_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE value IS NOT NULL),
+f AS (SELECT *, score AS best, true AS improved, 0 AS wait, false AS stopped FROM e WHERE rn = 1
+UNION ALL SELECT key, seq, score, rn, CASE WHEN better THEN score ELSE best END, better, CASE WHEN better THEN 0 WHEN stopped THEN wait ELSE wait + 1 END, stopped OR NOT better AND wait + 1 >= 5
+FROM (SELECT e.*, f.best, f.wait, f.stopped, NOT f.stopped AND e.score > f.best + 0.5 AS better FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1))
+SELECT key, seq, {r("score", "score")}, {r("best", "best")}, improved, stopped FROM f"""
+CACHE_SQL = """WITH RECURSIVE e AS (SELECT event_type || ':' || user_id AS key, event_id AS seq, event_id % 2 AS producer, CAST(coalesce(floor(value / 50), -1) AS BIGINT) AS digest,
+row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT key, seq, rn, 'miss' AS event, producer AS held_by, digest AS held FROM e WHERE rn = 1
+UNION ALL SELECT e.key, e.seq, e.rn, CASE WHEN digest = held THEN 'hit' WHEN producer = held_by THEN 'corrupt' ELSE 'conflict' END, held_by, CASE WHEN producer = held_by THEN digest ELSE held END FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+SELECT key, seq, event FROM f"""
+
+
+@register("budget_fold", BUDGET_SQL)
 def budget_fold(spark: SparkSession, folder: str) -> DataFrame:
     return state.budget(requests(spark, folder).where("amount IS NOT NULL"), 500)
 
 
-@register("early_stop")
+@register("early_stop", STOP_SQL)
 def early_stop(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").where("value IS NOT NULL")
     return rounded(state.early_stopping(events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("value").alias("score")), 0.5, 5))
@@ -126,7 +143,7 @@ def running_best(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table(spark, folder, "events").where("value IS NOT NULL").select("user_id", "event_id", F.max("value").over(window).alias("best")))
 
 
-@register("cache_events")
+@register("cache_events", CACHE_SQL)
 def cache_events(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     key = F.concat_ws(":", F.col("event_type"), F.col("user_id"))

@@ -126,7 +126,21 @@ def afc_retention_tests(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(verdicts.retention_tests(cells(spark, folder), KAPPA, ALPHA, N_FAMILIES))
 
 
-@register("afc_certificates")
+#: The tail of Student's t for a whole number of degrees of freedom: finite sums of powers of the cosine of atan(t / sqrt(df)).
+TAIL_SQL = """CASE WHEN t_forget IS NULL THEN NULL ELSE 0.5 - 0.5 * CASE WHEN df % 2 = 0
+THEN sin(theta) * list_sum(list_transform(range(0, df // 2), lambda m: exp(lgamma(2 * m + 1) - 2 * lgamma(m + 1) - 2 * m * ln(2.0) + 2 * m * ln(cos(theta)))))
+ELSE 2 / pi() * (theta + sin(theta) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda m: exp(2 * m * ln(2.0) + 2 * lgamma(m + 1) - lgamma(2 * m + 2) + (2 * m + 1) * ln(cos(theta))))), 0)) END END"""
+
+
+@register(
+    "afc_certificates",
+    f"""WITH {CELLS_SQL}, {RETAIN_SQL}, fg AS (SELECT *, n - 1 AS df, atan(t_forget / sqrt(n - 1)) AS theta FROM pc), fp AS (SELECT *, {TAIL_SQL} AS p_forget FROM fg),
+ww AS (SELECT target, max(p_retain) AS p_retain, first(fact ORDER BY p_retain DESC, fact) AS weakest_neighbour FROM rp GROUP BY target),
+cc AS (SELECT fp.*, p_retain, weakest_neighbour, coalesce(p_forget <= {ALPHA}, false) AS fo, p_retain <= {ALPHA} AS ro FROM fp LEFT JOIN ww ON fp.target = ww.target)
+SELECT target, weakest_family, {r("t", "t")}, {r("m", "m")}, {r("s", "s")}, n, {r("t_forget", "t_forget")}, {r("p_forget", "p_forget")}, {r("p_retain", "p_retain")}, weakest_neighbour,
+{r("CASE WHEN p_forget IS NOT NULL THEN greatest(p_forget, p_retain) END", "p")},
+CASE WHEN s = 0 THEN 'degenerate_control' WHEN ro IS NULL THEN CASE WHEN fo THEN 'forget_shown_retain_untested' ELSE 'not_forgotten_retain_untested' END WHEN fo AND ro THEN 'certified' WHEN ro THEN 'not_forgotten' WHEN fo THEN 'collateral_damage' ELSE 'both_failed' END AS verdict FROM cc""",
+)
 def afc_certificates(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(verdicts.certificates(cells(spark, folder), ALPHA, KAPPA, N_FAMILIES))
 

@@ -42,7 +42,17 @@ def by_source(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).groupBy("source").agg(F.count_if("error").alias("errors"), F.count("*").alias("n"))
 
 
-@register("exact_bound")
+#: P(Binomial(n, p) <= errors), and the p that brings it down to GAMMA by halving; closed forms at either end.
+TAIL_SQL = "list_sum(list_transform(range(0, errors + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2))))"
+HALVED_SQL = f"""h AS (SELECT *, 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM g UNION ALL
+SELECT * EXCLUDE (k, lo, hi, tail), k + 1, CASE WHEN tail > {GAMMA} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > {GAMMA} THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {TAIL_SQL} AS tail FROM h WHERE k < 60 AND errors < n))"""
+BOUND_SQL = r(f"CASE WHEN n = 0 THEN NULL WHEN errors = n THEN 1.0 WHEN errors = 0 THEN 1 - pow({GAMMA}, 1.0 / n) ELSE (lo + hi) / 2 END", "upper")
+
+
+@register(
+    "exact_bound",
+    f"WITH RECURSIVE {CASES_SQL}, g AS (SELECT source, count(*) FILTER (WHERE error) AS errors, count(*) AS n FROM c GROUP BY source), {HALVED_SQL} SELECT source, errors, n, {BOUND_SQL} FROM h WHERE k = 60 OR errors = n",
+)
 def exact_bound(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(by_source(spark, folder).withColumn("upper", stats.exact_bound(F.col("errors"), F.col("n"), GAMMA)))
 
@@ -79,7 +89,12 @@ def thresholds(spark: SparkSession, folder: str) -> DataFrame:
     return every.withColumn("point", scoring.rate(F.col("errors"), F.col("n")))
 
 
-@register("threshold_bounds")
+@register(
+    "threshold_bounds",
+    f"""WITH RECURSIVE {CASES_SQL}, t AS (SELECT unnest([200, 500, 1000, 2000, 5000, 10000]) AS threshold),
+g AS (SELECT threshold, count(*) FILTER (WHERE n_chars >= threshold) AS n, count(*) FILTER (WHERE n_chars >= threshold AND error) AS errors FROM c, t GROUP BY threshold), {HALVED_SQL}
+SELECT threshold, n, errors, {r("CAST(errors AS DOUBLE) / nullif(n, 0)", "point")}, {BOUND_SQL} FROM h WHERE k = 60 OR errors = n""",
+)
 def threshold_bounds(spark: SparkSession, folder: str) -> DataFrame:
     found = thresholds(spark, folder)
     return rounded(found.withColumn("upper", stats.exact_bound(F.col("errors"), F.col("n"), GAMMA)))
@@ -141,7 +156,13 @@ def bootstrap_crossed(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(resampling.crossed(cases(spark, folder), "source", "lang", REPLICATES, SEED))
 
 
-@register("bootstrap_interval")
+@register(
+    "bootstrap_interval",
+    f"""WITH {CASES_SQL}, b AS (SELECT source, lang, count(*) FILTER (WHERE error) AS errors, count(*) AS n, row_number() OVER (ORDER BY source, lang) - 1 AS number FROM c GROUP BY source, lang),
+w AS ({draws_sql("", "b")}), x AS (SELECT replicate, sum(times * errors) / sum(times * n) AS rate FROM w JOIN b USING (number) GROUP BY replicate)
+SELECT {r(f"quantile_cont(rate, {GAMMA / 2})", "low")}, {r(f"quantile_cont(rate, {1 - GAMMA / 2})", "high")},
+{r("least(1.0, 2.0 * least(count(*) FILTER (WHERE rate - 0.25 <= 0), count(*) FILTER (WHERE rate - 0.25 >= 0)) / count(*))", "p")} FROM x""",
+)
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Percentile interval of the nested rates and the two-sided p of rates against 0.25."""
     rates = resampling.nested(cases(spark, folder), ["source", "lang"], REPLICATES, SEED)
