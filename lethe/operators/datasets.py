@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from lethe.functions.text import words
 
 
+SALTS = 64
+#: Phrases up to this number travel to every task; beyond it words and texts are shuffled.
+BROADCAST_PHRASES = 50_000
+
+
 def contains_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """text_id, phrase_id where the text holds the phrase. texts: text_id, text; phrases: phrase_id, phrase.
 
     A phrase can only stand in a text that has its longest inner word; that word is the join key, so the pairs that
-    meet are few, and ``contains`` decides. A phrase of fewer than three words has no inner word: such phrases are
+    meet are few, and ``contains`` decides. If the phrases are few a text's words meet them where the text is read, and neither
+    words nor texts are shuffled. A phrase of fewer than three words has no inner word: such phrases are
     compared with all texts, against a broadcast side only when Spark finds it small.
     """
     inner = F.slice(words(F.col("phrase")), 2, F.greatest(F.size(words(F.col("phrase"))) - 2, F.lit(0)))
     # the longest word, first of equals
     key = F.aggregate(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     keyed = phrases.withColumn("key", key)
-    tokens = texts.select("text_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
-    near = tokens.join(keyed.where("key != ''").select("phrase_id", "key"), "key").select("text_id", "phrase_id").distinct()
-    met = near.join(phrases, "phrase_id").join(texts, "text_id").where(F.contains("text", "phrase")).select("text_id", "phrase_id")
-    short = texts.join(keyed.where("key = '' AND phrase != ''"), F.contains("text", "phrase")).select("text_id", "phrase_id")
+    each = F.explode(F.array_distinct(words(F.col("text")))).alias("key")
+    if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
+        hits = texts.select("text_id", "text", each).join(F.broadcast(keyed.where("key != ''")), "key")
+        met = hits.where(F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
+    else:
+        near = texts.select("text_id", each).join(keyed.where("key != ''").select("phrase_id", "key"), "key").select("text_id", "phrase_id").distinct()
+        met = near.join(phrases, "phrase_id").join(texts, "text_id").where(F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
+    short = texts.join(keyed.where("key = '' AND phrase != ''"), F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
     return met.union(short)
 
 
@@ -62,11 +72,17 @@ def eligible(facts: DataFrame, gates: DataFrame, audits: DataFrame) -> DataFrame
 def link_counts(facts: DataFrame) -> DataFrame:
     """fact, n_subject, n_relation, n_links: other facts that share the subject, the relation, or either.
 
-    Counts need no pairs: those of either are subject + relation - both.
+    Counts need no pairs: those of either are subject + relation - both. They are combined before the shuffle and joined back,
+    so no task holds the facts of a frequent subject. A null subject or relation is shared by none but nulls.
     """
-    others = lambda *keys: F.count("*").over(Window.partitionBy(*keys)) - 1
-    counted = facts.select("fact", others("subject").alias("n_subject"), others("relation").alias("n_relation"), others("subject", "relation").alias("n_both"))
-    return counted.select("fact", "n_subject", "n_relation", (F.col("n_subject") + F.col("n_relation") - F.col("n_both")).alias("n_links"))
+    both = facts.groupBy("subject", "relation").agg(F.count("*").alias("n_both"))
+    by = lambda key, name: both.groupBy(F.col(key).alias(f"_{key}")).agg(F.sum("n_both").alias(name))
+    same = lambda key: F.col(key).eqNullSafe(F.col(f"_{key}"))
+    counts = both.join(by("subject", "n_s"), same("subject")).join(by("relation", "n_r"), same("relation"))
+    counts = counts.select(F.col("subject").alias("_s"), F.col("relation").alias("_r"), "n_s", "n_r", "n_both")
+    counted = facts.join(counts, F.col("subject").eqNullSafe(F.col("_s")) & F.col("relation").eqNullSafe(F.col("_r")))
+    others = {"n_subject": F.col("n_s"), "n_relation": F.col("n_r"), "n_links": F.col("n_s") + F.col("n_r") - F.col("n_both")}
+    return counted.select("fact", *[(n - 1).alias(name) for name, n in others.items()])
 
 
 def same_subject(facts: DataFrame, index: DataFrame) -> DataFrame:
@@ -82,13 +98,19 @@ def bucket_coverage(items: DataFrame, buckets: DataFrame, least: int) -> DataFra
 
 
 def stratified(rows: DataFrame, category: str, order: Column, limit: int) -> DataFrame:
-    """``limit`` rows dealt evenly over categories: the floor to each, the rest one by one to the largest; at least 1 each."""
+    """``limit`` rows dealt evenly over categories: the floor to each, the rest one by one to the largest; at least 1 each.
+
+    A category's rows are ranked in SALTS parts first, and only the leading ones of each part meet.
+    """
     sizes = rows.groupBy(category).agg(F.count("*").alias("size"))
     k = F.count("*").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.col("size").desc(), F.col(category)))
     dealt = sizes.select(F.col(category), F.greatest(F.lit(1), F.floor(F.lit(limit) / k) + (rank <= F.lit(limit) % k).cast("int")).alias("quota"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(category).orderBy(order)))
-    return placed.join(dealt, category).where("place <= quota").drop("quota")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).alias("_part")
+    leading = rows.withColumn("_part", part).join(F.broadcast(dealt), category)  # a row for each category
+    leading = leading.withColumn("place", F.row_number().over(Window.partitionBy(category, "_part").orderBy(order))).where("place <= quota")
+    placed = leading.withColumn("place", F.row_number().over(Window.partitionBy(category).orderBy(order)))
+    return placed.where("place <= quota").drop("quota", "_part")
 
 
 def turns(conversation: DataFrame) -> DataFrame:

@@ -1,24 +1,39 @@
-"""Adjustment of p-values for multiple tests, as windows over the sorted values."""
+"""Adjustment of p-values for multiple tests: ranks and running extremes over the sorted values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lethe.operators import ranking
+
+
+def raised(procedure: str, p: str, rank: Column, m: Column) -> Column:
+    """A p-value of this rank among m before it is made monotone."""
+    if procedure == "holm":
+        return (m - rank + 1) * F.col(p)
+    if procedure == "bh":
+        return m / rank * F.col(p)
+    if procedure == "by":
+        return F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) * m / rank * F.col(p)
+    raise ValueError(procedure)
+
 
 def adjusted(rows: DataFrame, p: str, order: str, procedure: str, *groups: str) -> DataFrame:
-    """``rows`` with column ``adjusted`` by holm, bh or by, within ``groups``. ``order`` settles ties and is unique in a group."""
+    """``rows`` with column ``adjusted`` by holm, bh or by, within ``groups``. ``order`` settles ties and is unique in a group.
+
+    Without groups the whole table is one family, which is ranked range by range.
+    """
+    extreme = F.max if procedure == "holm" else F.min
+    if not groups:
+        placed = ranking.with_numbers(ranking.ranged(rows, F.col(p), F.col(order)))
+        ranked = placed.join(F.broadcast(placed.agg(F.count("*").alias("_m"))))  # one row
+        raw = raised(procedure, p, F.col("number") + 1, F.col("_m"))
+        found = ranking.running(ranked, raw, extreme, F.greatest if procedure == "holm" else F.least, backward=procedure != "holm")
+        return found.withColumn("adjusted", F.least(F.lit(1.0), "running")).select(*rows.columns, "adjusted")
     whole = Window.partitionBy(*groups)
     rank = F.row_number().over(whole.orderBy(F.col(p), F.col(order)))
     ranked = rows.withColumn("_rank", rank).withColumn("_m", F.count("*").over(whole))
-    if procedure == "holm":
-        raw, running = (F.col("_m") - F.col("_rank") + 1) * F.col(p), F.max
-        by = whole.orderBy("_rank")
-    elif procedure in ("bh", "by"):
-        harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) if procedure == "by" else F.lit(1.0)
-        raw, running = harmonic * F.col("_m") / F.col("_rank") * F.col(p), F.min
-        by = whole.orderBy(F.col("_rank").desc())
-    else:
-        raise ValueError(procedure)
-    value = running(raw).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    by = whole.orderBy("_rank" if procedure == "holm" else F.col("_rank").desc())
+    value = extreme(raised(procedure, p, F.col("_rank"), F.col("_m"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("adjusted", F.least(F.lit(1.0), value)).drop("_rank", "_m")

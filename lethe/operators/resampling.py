@@ -6,9 +6,12 @@ first; a replicate is then a weighted sum of blocks, never a copy of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lethe.operators import ranking
+from lethe.storage import staged
+
 
 def draw(seed: int, replicate: Column, number: Column, n: Column, label: str = "") -> Column:
     """A number in [0, n) from 48 bits of MD5."""
@@ -21,25 +24,19 @@ def block_sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(F.col("error").cast("long")).alias("errors"), F.count("*").alias("n"))
 
 
-def multiplicities(blocks: DataFrame, order: list[str], replicates: int, seed: int, label: str = "") -> DataFrame:
-    """replicate, number (of the block in ``order``), times: as many draws as there are blocks."""
-    spark = blocks.sparkSession
-    size = blocks.agg(F.count("*").alias("n_blocks"))
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(size))
-    draws = draws.withColumn("draw", F.explode(F.when(F.col("n_blocks") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))))
-    picked = draws.select("replicate", draw(seed, F.col("replicate"), F.col("draw"), F.col("n_blocks"), label).alias("number"))
+def multiplicities(blocks: DataFrame, replicates: int, seed: int, label: str = "") -> DataFrame:
+    """replicate, number (of a block in their order), times: as many draws as there are blocks. Draws are rows of a range, dealt over all tasks."""
+    n = blocks.count()
+    draws = blocks.sparkSession.range(replicates * n)
+    replicate, number = F.floor(F.col("id") / max(n, 1)), F.col("id") % max(n, 1)
+    picked = draws.select(replicate.alias("replicate"), draw(seed, replicate, number, F.lit(max(n, 1)), label).alias("number"))
     return picked.groupBy("replicate", "number").agg(F.count("*").alias("times"))
 
 
-def numbered(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """Blocks with their number in ``order``; blocks are sums, a few for each checkpoint and fact."""
-    return blocks.withColumn("number", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-
-
 def nested(rows: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
     """replicate, errors, n, rate: whole blocks drawn with replacement."""
-    blocks = numbered(block_sums(rows, *keys), keys)
-    weighted = multiplicities(blocks, keys, replicates, seed).join(blocks, "number")
+    blocks = staged(ranking.numbered(block_sums(rows, *keys), *keys), "blocks")
+    weighted = multiplicities(blocks, replicates, seed).join(blocks, "number")
     found = weighted.groupBy("replicate").agg(F.sum(F.col("times") * F.col("errors")).alias("errors"), F.sum(F.col("times") * F.col("n")).alias("n"))
     return found.withColumn("rate", F.coalesce(F.try_divide("errors", "n"), F.lit(0.0)))
 
@@ -48,8 +45,8 @@ def crossed(rows: DataFrame, first: str, second: str, replicates: int, seed: int
     """replicate, errors, n, rate: both factors are drawn on their own; a cell counts as often as the product says."""
     cells = block_sums(rows, first, second)
     for side in (first, second):
-        levels = numbered(cells.select(side).distinct(), [side])
-        times = multiplicities(levels, [side], replicates, seed, label=f"{side}|").join(levels, "number")
+        levels = staged(ranking.numbered(cells.select(side).distinct(), side), "levels")
+        times = multiplicities(levels, replicates, seed, label=f"{side}|").join(levels, "number")
         times = times.select("replicate", side, F.col("times").alias(f"{side}_times"))
         cells = cells.join(times, [side] if side == first else ["replicate", side])
     weight = F.col(f"{first}_times") * F.col(f"{second}_times")

@@ -56,10 +56,10 @@ def neighbour_retention(changes: DataFrame) -> DataFrame:
 
 
 def log_sum_exp(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, total: ln of the sum of exp, stable for small values."""
-    top = rows.groupBy(key).agg(F.max(value).alias("top"), F.collect_list(value).alias("values"))
-    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    return top.select(key, (F.col("top") + F.log(total)).alias("total"))
+    """key, total: ln of the sum of exp, stable for small values; the maximum comes first, so both steps are combined before the shuffle."""
+    top = rows.groupBy(key).agg(F.max(value).alias("top"))
+    lifted = rows.join(top, key).groupBy(key).agg(F.first("top").alias("top"), F.sum(F.exp(F.col(value) - F.col("top"))).alias("sum"))
+    return lifted.select(key, (F.col("top") + F.log("sum")).alias("total"))
 
 
 def gate_compare(left: DataFrame, right: DataFrame) -> DataFrame:

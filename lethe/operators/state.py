@@ -12,40 +12,42 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-Step = Callable[[Any, dict], tuple[Any, dict]]
+Step = Callable[..., tuple[Any, tuple]]
 
 
 def fold(rows: DataFrame, key: str, order: list[str], start: Any, step: Step, schema: str) -> DataFrame:
-    """``step(state, row) -> (state, output row)`` over each key's rows in ``order``; the state starts as ``start``."""
-    names = [f.name for f in StructType.fromDDL(schema)]
+    """``step(state, *values of a row) -> (state, values of an output row)`` over each key's rows in ``order``; the state starts as ``start``.
+
+    Columns come and go as arrays; only a batch and the state are held.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    at = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, first = None, start, True
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if first or row[key] != last:
-                    last, state, first = row[key], start, False
-                state, result = step(state, row)
+            for values in zip(*(column.to_pylist() for column in batch.columns)):
+                if first or values[at] != last:
+                    last, state, first = values[at], start, False
+                state, result = step(state, *values)
                 out.append(result)
             if out:
-                yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def budget(requests: DataFrame, limit: int) -> DataFrame:
     """key, seq, amount, accepted, spent: a request that does not fit is refused and spends nothing; later ones may fit."""
 
-    def step(spent: int, row: dict) -> tuple[int, dict]:
-        fits = spent + row["amount"] <= limit
-        spent += row["amount"] if fits else 0
-        return spent, {"key": row["key"], "seq": row["seq"], "amount": row["amount"], "accepted": fits, "spent": spent}
+    def step(spent: int, key: int, seq: int, amount: int) -> tuple[int, tuple]:
+        fits = spent + amount <= limit
+        spent += amount if fits else 0
+        return spent, (key, seq, amount, fits, spent)
 
     return fold(requests.select("key", "seq", "amount"), "key", ["seq"], 0, step, "key long, seq long, amount long, accepted boolean, spent long")
 
@@ -53,33 +55,33 @@ def budget(requests: DataFrame, limit: int) -> DataFrame:
 def early_stopping(scores: DataFrame, min_delta: float, patience: int) -> DataFrame:
     """key, seq, score, best, improved, stopped: a score counts as better only beyond the last accepted best by min_delta."""
 
-    def step(state: tuple, row: dict) -> tuple[tuple, dict]:
+    def step(state: tuple, key: int, seq: int, score: float) -> tuple[tuple, tuple]:
         best, wait, stopped = state
-        improved = not stopped and (best is None or row["score"] > best + min_delta)
+        improved = not stopped and (best is None or score > best + min_delta)
         if improved:
-            best, wait = row["score"], 0
+            best, wait = score, 0
         elif not stopped:
             wait += 1
             stopped = wait >= patience
-        return (best, wait, stopped), {"key": row["key"], "seq": row["seq"], "score": row["score"], "best": best, "improved": improved, "stopped": stopped}
+        return (best, wait, stopped), (key, seq, score, best, improved, stopped)
 
     return fold(scores.select("key", "seq", "score"), "key", ["seq"], (None, 0, False), step, "key long, seq long, score double, best double, improved boolean, stopped boolean")
 
 
 def cache_events(requests: DataFrame) -> DataFrame:
-    """seq, key, event: miss, hit, corrupt (the stored digest changed under the same producer) or conflict (under another)."""
+    """key, seq, event: miss, hit, corrupt (the stored digest changed under the same producer) or conflict (under another)."""
 
-    def step(state: tuple | None, row: dict) -> tuple[tuple, dict]:
-        now = (row["producer"], row["digest"])
+    def step(state: tuple | None, key: str, seq: int, producer: int, digest: int) -> tuple[tuple, tuple]:
+        now = (producer, digest)
         if state is None:
             event, state = "miss", now
-        elif state[1] == now[1]:
+        elif state[1] == digest:
             event = "hit"
-        elif state[0] == now[0]:
+        elif state[0] == producer:
             event, state = "corrupt", now
         else:
             event = "conflict"
-        return state, {"key": row["key"], "seq": row["seq"], "event": event}
+        return state, (key, seq, event)
 
     return fold(requests.select("key", "seq", "producer", "digest"), "key", ["seq"], None, step, "key string, seq long, event string")
 

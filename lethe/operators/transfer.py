@@ -10,16 +10,10 @@ from lethe.sources import sinks
 VERSION = 1
 
 
-def content_digest(rows: DataFrame) -> DataFrame:
-    """One row n, digest: the number of rows and an order-free sum over their hashes, whatever the partitioning."""
-    part = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
-
-
 def export(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines beside a manifest of version, count and digest."""
     sinks.write_json(rows, f"{path}/rows")
-    content_digest(rows).withColumn("version", F.lit(VERSION)).write.mode("overwrite").json(f"{path}/manifest")
+    sinks.digest(rows).withColumn("version", F.lit(VERSION)).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +23,7 @@ def manifest_of(spark: SparkSession, path: str) -> DataFrame:
 def check_import(spark: SparkSession, path: str, schema: str, target: DataFrame | None = None) -> DataFrame:
     """One row status: ok, or why an export may not be imported: version, count, digest, or a target that is not empty."""
     rows = spark.read.schema(schema).json(f"{path}/rows")
-    found = content_digest(rows).toDF("n_found", "found")
+    found = sinks.digest(rows).toDF("n_found", "found")
     both = manifest_of(spark, path).join(F.broadcast(found))  # one row and one row
     status = F.when(F.col("version") != VERSION, "version").when(F.col("n") != F.col("n_found"), "count").when(F.col("digest") != F.col("found"), "digest").otherwise("ok")
     full = target is not None and not target.isEmpty()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lethe.operators import scoring, verdicts
 from lethe.registry import register
 from lethe.sources.tables import table
+from lethe.storage import staged
 
 SPLIT = "2024-01-16"
 DIGITS = 6
@@ -142,7 +143,7 @@ SELECT target, weakest_family, {r("t", "t")}, {r("m", "m")}, {r("s", "s")}, n, {
 CASE WHEN s = 0 THEN 'degenerate_control' WHEN ro IS NULL THEN CASE WHEN fo THEN 'forget_shown_retain_untested' ELSE 'not_forgotten_retain_untested' END WHEN fo AND ro THEN 'certified' WHEN ro THEN 'not_forgotten' WHEN fo THEN 'collateral_damage' ELSE 'both_failed' END AS verdict FROM cc""",
 )
 def afc_certificates(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(verdicts.certificates(cells(spark, folder), ALPHA, KAPPA, N_FAMILIES))
+    return rounded(verdicts.certificates(staged(cells(spark, folder), "cells"), ALPHA, KAPPA, N_FAMILIES))
 
 
 @register(

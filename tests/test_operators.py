@@ -174,7 +174,7 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.append(rows, str(tmp_path / "p"))
     sinks.append(rows, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
-    assert sinks.digest(rows, "id").first() == sinks.digest(rows.orderBy(F.desc("id")), "id").first()
+    assert sinks.digest(rows).first() == sinks.digest(rows.orderBy(F.desc("id"))).first()
 
 
 def test_stream_budget(spark, tmp_path):
@@ -183,3 +183,58 @@ def test_stream_budget(spark, tmp_path):
     query = budgets.stream_budget(stream, 10).writeStream.format("memory").queryName("spent").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows_of(spark.table("spent").select("seq", "accepted", "spent")) == [(1, True, 6), (2, False, 6), (3, True, 10)]
+
+
+def test_ranking_over_ranges(spark):
+    """Numbers and running extremes over several ranges, with ties and an empty table."""
+    import random
+
+    from lethe.operators import multiplicity, ranking
+
+    rng = random.Random(2)
+    values = [round(rng.random(), 2) for _ in range(400)]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double").repartition(5)
+    order = sorted(range(400), key=lambda k: (values[k], k))
+    assert {r.k: r.number for r in ranking.numbered(rows, "v", "k").collect()} == {k: n for n, k in enumerate(order)}
+    for backward in (False, True):
+        placed = ranking.ranged(rows, "v", "k")
+        found = {r.k: r.running for r in ranking.running(placed, F.col("k"), F.max, F.greatest, backward).collect()}
+        best = -1
+        for k in reversed(order) if backward else order:
+            best = max(best, k)
+            assert found[k] == best
+    for procedure in ("holm", "bh", "by"):
+        whole = {r.k: r.adjusted for r in multiplicity.adjusted(rows, "v", "k", procedure).collect()}
+        grouped = {r.k: r.adjusted for r in multiplicity.adjusted(rows.withColumn("g", F.lit(1)), "v", "k", procedure, "g").collect()}
+        assert whole == pytest.approx(grouped)
+    assert multiplicity.adjusted(rows.limit(0), "v", "k", "bh").count() == 0
+
+
+def test_phrases_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the brown fox ran home"), (2, "a brown fox"), (3, None), (4, "")], "text_id int, text string")
+    phrases = spark.createDataFrame([(1, "brown fox ran"), (2, "brown fox"), (3, "")], "phrase_id int, phrase string")
+    few = {tuple(r) for r in datasets.contains_pairs(texts, phrases).collect()}
+    monkeypatch.setattr(datasets, "BROADCAST_PHRASES", 1)
+    assert {tuple(r) for r in datasets.contains_pairs(texts, phrases).collect()} == few == {(1, 1), (1, 2), (2, 2)}
+
+
+def test_imports_are_refused(spark, tmp_path):
+    from lethe.operators import transfer
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    path = f"file://{tmp_path}/export"
+    transfer.export(rows, path)
+    assert transfer.imported(spark, path, "k int, v string").count() == 2
+    with pytest.raises(ValueError, match="target_not_empty"):
+        transfer.imported(spark, path, "k int, v string", rows)
+    rows.limit(1).write.mode("append").json(f"{path}/rows")
+    with pytest.raises(ValueError, match="count"):
+        transfer.imported(spark, path, "k int, v string")
+
+
+def test_question_answer_texts(spark):
+    from lethe.functions import text
+
+    texts = [(1, "Q: one\nA: 1\nQ: two\nQ: three\nA: 3\nQ: four"), (2, "  \n"), (3, None), (4, "x\n Q: a \n A: b \n")]
+    found = text.qa_pairs_of(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()
+    assert sorted((r.k, r.number, r.question, r.answer) for r in found) == [(1, 0, "one", "1"), (1, 1, "two", ""), (1, 2, "four", ""), (4, 0, "a", "b")]
