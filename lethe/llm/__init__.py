@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLE_SQL = {**line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **quality_rules.ORACLE_SQL}
+ORACLE_SQL = {**line_dedup.ORACLE_SQL, **suffix_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **quality_rules.ORACLE_SQL, **jaccard.ORACLE_SQL}

@@ -522,3 +522,18 @@ def jaccard_components(
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(shared.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+c AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) END AS class_id FROM s),
+x AS (SELECT class_id AS k, n, unnest(s) AS shingle FROM c WHERE doc_id = class_id),
+p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS common FROM x a JOIN x b ON a.shingle = b.shingle AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node), f AS (SELECT a AS node, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, class_id) AS component_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN m ON class_id = m.node LEFT JOIN f ON class_id = f.node
+"""
+}

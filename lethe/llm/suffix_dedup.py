@@ -355,3 +355,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(shared.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as hexadecimal text; windows are cut from overlapping blocks of 500.
+ORACLE_SQL = {
+    "op6_suffix_dedup": r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+b AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 2 * 599) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n - 99, 500)) AS base FROM t)),
+w AS (SELECT doc_id, base + k AS i, md5(substr(h, 2 * k + 1, 200)) AS key FROM (SELECT doc_id, base, h, unnest(range(0, least(500, n - 99 - base))) AS k FROM b)),
+c AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c)),
+s AS (SELECT doc_id, span, min(i) AS first, max(i) + 100 AS last FROM g GROUP BY doc_id, span),
+e AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS since FROM s),
+r AS (SELECT doc_id, sum(last - first) AS n_removed, count(*) AS n_spans, max(last) AS tail, string_agg(substr(h, 2 * since + 1, 2 * (first - since)), '' ORDER BY first) AS head FROM e JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+"""
+}
