@@ -36,3 +36,27 @@ def missing_references(rows: DataFrame, column: str, target: DataFrame, key: str
     """column, n of values that ``target`` lacks."""
     known = target.select(F.col(key).alias(column)).distinct()
     return rows.join(known, column, "left_anti").where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def group_counts(rows: DataFrame, group: str, rule_id: str, holds: Column) -> DataFrame:
+    """rule_id, n_groups, n_broken of a rule on aggregates of each group."""
+    found = rows.groupBy(group).agg(F.coalesce(holds, F.lit(False)).alias("_ok"))
+    return found.agg(F.lit(rule_id).alias("rule_id"), F.count("*").alias("n_groups"), F.count_if(~F.col("_ok")).alias("n_broken"))
+
+
+def frozen(current: DataFrame, baseline: DataFrame, amended: DataFrame, key: str, content: Column) -> DataFrame:
+    """key, status: frozen, amended, changed without amendment, or no baseline. A key's digest is an order-free sum over its rows."""
+
+    def digests(rows: DataFrame, name: str) -> DataFrame:
+        part = F.conv(F.substring(F.sha2(F.to_json(content), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+        return rows.groupBy(key).agg(F.struct(F.count("*"), F.sum(part)).alias(name))
+
+    both = digests(current, "_now").join(digests(baseline, "_old"), key, "left").join(amended.select(key, F.lit(True).alias("_amended")), key, "left")
+    status = F.when(F.col("_old").isNull(), "no baseline").when(F.col("_now") == F.col("_old"), "frozen").when(F.col("_amended"), "amended").otherwise("changed without amendment")
+    return both.select(key, status.alias("status"))
+
+
+def gate(*checks: str) -> Column:
+    """pass, or the names of the columns that are not true."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(name, F.lit(False)), F.lit(name)) for name in checks]))
+    return F.when(F.size(failed) == 0, "pass").otherwise(F.array_join(failed, "+"))
