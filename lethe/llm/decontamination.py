@@ -6,13 +6,13 @@ documents, and words of more than MAX_DF of them are left out unless they are am
 distributed randomised SVD (Halko et al., 2011) of the block's TF-IDF passages gives latent directions, as many as it
 takes for each query passage to keep MIN_KEPT of its norm; every document's overlapping passages (three strides of
 STRIDE words, so that each run of PIECE words lies in one whole) are projected and compared with every query passage.
-A pair is a candidate if its latent cosine reaches MIN_COSINE and the passage holds MIN_HELD of the query's own weight;
-of neighbouring passages the best one stands for all. For candidates the longest common subsequence of words with the whole
+A pair is a candidate if its latent cosine reaches MIN_COSINE (less for short items: in proportion to the root of their length) and the passage holds MIN_HELD of the query's own weight;
+of neighbouring passages each local maximum stands for those around it. For candidates the longest common subsequence of words with the whole
 item is computed around the best alignment, and likewise for the item's answer (its ``answer`` column if there is
 one, else its last quarter). An item is in a document if the share of its words in the subsequence reaches SURE, or
 reaches LIKELY while the answer's share reaches ANSWER. Items of fewer than SHORT words must be there in full.
 
-The documents are read twice a block and never shuffled. Null or empty texts and items match nothing. Rows that repeat an
+The documents are read once for each block and once for the word counts of GROUP blocks, and never shuffled. Null or empty texts and items match nothing. Rows that repeat an
 id are searched on their own; a pair is returned once with its best scores. Rows with a null id are searched as well and
 return under a null id.
 """
@@ -33,7 +33,7 @@ from .kernels import ALNUM_OR_SPACE, word_hashes
 PIECE, STRIDE, OVERSAMPLING = 32, 16, 10
 MAX_DF, RAREST, MIN_KEPT = 0.02, 8, 0.7
 MIN_COSINE, MIN_HELD, SURE, LIKELY, ANSWER, SHORT = 0.5, 0.5, 0.8, 0.6, 0.5, 8
-BLOCK_WORDS = 12_000
+BLOCK_WORDS, GROUP = 12_000, 64
 _TABLE_BITS = 20
 _WORD = np.array([b != 32 for b in range(256)])
 
@@ -51,17 +51,25 @@ class Item:
 
 
 class Vocabulary:
-    """The block's words; a table by the low bits of the hash finds a word's row."""
+    """Sorted words; a table by the low bits of the hash tells most others apart before the search."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        self.table[(words & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = np.arange(len(words))
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self._low(words)] = True
+
+    @staticmethod
+    def _low(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 for other words."""
-        found = self.table[(hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)]
-        return np.where((found >= 0) & (self.words[found] == hashes), found, -1)
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.table[self._low(hashes)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.words, hashes[maybe]), len(self.words) - 1)
+            out[maybe] = np.where(self.words[at] == hashes[maybe], at, -1)
+        return out
 
 
 def pieces(words: np.ndarray) -> list[np.ndarray]:
@@ -210,16 +218,17 @@ RESULT = "doc_id long, item_id long, cosine double, lcs_share double, answer_sha
 
 def search_block(docs: DataFrame, items: list[Item], vocabulary: Vocabulary, weighted: np.ndarray, min_cosine: float, min_held: float) -> DataFrame:
     """weighted: idf times latent direction for each word of the block."""
-    queries, owner = [], []
+    queries, owner, least = [], [], []
     for k, item in enumerate(items):
         for piece in pieces(item.words):
             rows = vocabulary.rows(piece)
             queries.append(weighted[rows[rows >= 0]].sum(0))
             owner.append(k)
+            least.append(min_cosine * np.sqrt(len(piece) / PIECE))  # a short item fills less of a passage
     matrix = np.array(queries, np.float32)
     norms = np.linalg.norm(matrix, axis=1)
     some = norms > 0
-    matrix, norms, owner = matrix[some] / norms[some, None], norms[some], np.array(owner)[some]
+    matrix, norms, owner, least = matrix[some] / norms[some, None], norms[some], np.array(owner)[some], np.array(least, np.float32)[some]
     weighted = weighted.astype(np.float32)
 
     def candidates(words: np.ndarray) -> Iterator[tuple[int, int, float]]:
@@ -237,13 +246,15 @@ def search_block(docs: DataFrame, items: list[Item], vocabulary: Vocabulary, wei
         sums = sums[there]
         match = sums @ matrix.T
         size = np.linalg.norm(sums, axis=1)
-        query, row = np.nonzero(((match >= min_cosine * size[:, None]) & (match >= min_held * norms)).T)
+        query, row = np.nonzero(((match >= least * size[:, None]) & (match >= min_held * norms)).T)
         if not len(query):
             return
-        fresh = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (there[row[1:]] > there[row[:-1]] + 1))))
-        for s, e in zip(fresh, [*fresh[1:], len(query)]):
-            best = s + int(np.argmax(match[row[s:e], query[s]]))
-            yield int(there[row[best]]), int(query[best]), float(match[row[best], query[best]] / max(size[row[best]], 1e-9))
+        value = match[row, query]
+        apart = (query[1:] != query[:-1]) | (there[row[1:]] > there[row[:-1]] + 1)
+        # passages that hold no less than the one before and more than the one after
+        rising, falling = np.concatenate(([True], apart | (value[1:] >= value[:-1]))), np.concatenate((apart | (value[:-1] > value[1:]), [True]))
+        for best in np.flatnonzero(rising & falling):
+            yield int(there[row[best]]), int(query[best]), float(value[best] / max(size[row[best]], 1e-9))
 
     def found_in(text: bytes) -> Iterator[tuple[int, float, float, float]]:
         words = words_of(text)
@@ -263,10 +274,10 @@ def search_block(docs: DataFrame, items: list[Item], vocabulary: Vocabulary, wei
     return docs.mapInArrow(run, RESULT)
 
 
-def block_of(items: list[Item], docs: DataFrame, part: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The block's telling words, and idf times latent direction for each."""
+def block_of(items: list[Item], every: Vocabulary, counts: np.ndarray, n: int, part: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The block's telling words, and idf times latent direction for each. counts: documents with each word of ``every``, of ``n``."""
     vocabulary = Vocabulary(np.unique(np.concatenate([i.words for i in items])))
-    counts, n = document_frequencies(docs, vocabulary)
+    counts = counts[every.rows(vocabulary.words)]
     keep = telling(items, vocabulary, counts, n)
     vocabulary, idf = Vocabulary(vocabulary.words[keep]), np.log((n + 1) / (counts[keep] + 1)) + 1e-3
     queries = []
@@ -279,6 +290,16 @@ def block_of(items: list[Item], docs: DataFrame, part: DataFrame) -> tuple[Vocab
     return vocabulary, idf[:, None] * latent_directions(part, vocabulary, idf, np.array(queries))
 
 
+def items_of(part: DataFrame) -> list[Item]:
+    """The items of a block that have words."""
+    items = []
+    for row in part.orderBy("item_id", "text").toLocalIterator():
+        words = words_of(row.text.encode())
+        if len(words):
+            items.append(Item(row.item_id, words, words_of(row.answer.encode()) if row.answer else words[-max(3, len(words) // 4) :]))
+    return items
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -300,17 +321,14 @@ def find_leaks(
     size = every.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = -(-size // block_words)
     every = every.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
-    for k in range(blocks):
-        part = every.where(F.col("block") == k).drop("block")
-        items = []
-        for row in part.orderBy("item_id", "text").toLocalIterator():
-            words = words_of(row.text.encode())
-            if len(words):
-                tail = words_of(row.answer.encode()) if row.answer else words[-max(3, len(words) // 4) :]
-                items.append(Item(row.item_id, words, tail))
-        if items:
-            vocabulary, weighted = block_of(items, docs, part)
-            out = out.union(search_block(docs, items, vocabulary, weighted, min_cosine, min_held))
+    for low in range(0, blocks, GROUP):
+        parts = [every.where(F.col("block") == k).drop("block") for k in range(low, min(blocks, low + GROUP))]
+        held = [(items, part) for part in parts if (items := items_of(part))]
+        if held:
+            words = Vocabulary(np.unique(np.concatenate([i.words for items, _ in held for i in items])))
+            counts, n = document_frequencies(docs, words)
+            for items, part in held:
+                out = out.union(search_block(docs, items, *block_of(items, words, counts, n, part), min_cosine, min_held))
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share")
 

@@ -163,6 +163,63 @@ def test_decontamination(spark, none):
     assert leaks <= {(r.doc_id, r.item_id) for r in blocks.collect()}
 
 
+def plain_common(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_decontamination_brute_force(spark):
+    """Against every item in every stretch of a text: null and repeated ids, repeated rows, long texts, clashing columns, many blocks.
+
+    Copies and copies with one word in ten replaced are all found; of those with three in ten replaced some lie below the candidate bounds.
+    """
+    rng = random.Random(31)
+    items = [(k, sentence(rng, rng.randint(12, 30))) for k in range(30)]
+    texts, sure = [], set()
+    for i in range(40):
+        words = sentence(rng, rng.randint(0, 120)).split(" ")
+        if i % 2:
+            k, share = rng.randrange(30), rng.choice([0.0, 0.1, 0.3, 0.6])
+            leak = items[k][1].split(" ")
+            if share <= 0.1:
+                sure.add((i, k))
+            leak = [w if rng.random() >= share else rng.choice(["else", "other", ""]) for w in leak]
+            at = rng.randrange(len(words))
+            words[at:at] = leak
+        texts.append((i, " ".join(words)))
+    texts += [(7, texts[7][1]), (7, texts[9][1]), (None, texts[7][1]), (90, None), (91, ""), (92, sentence(rng, 3000) + " " + items[3][1] + " " + sentence(rng, 3000))]
+    bench = spark.createDataFrame([(*item, 0.5, "x") for item in items], "item_id long, text string, cosine double, block string")
+    docs = spark.createDataFrame([(*t, 1, 2.0) for t in texts], "doc_id long, text string, item_id int, lcs_share double").repartition(3)
+    plain = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    expected = set()
+    for k, item in items:
+        a = plain.findall(item.translate(LOWER))
+        tail, slack = a[-max(3, len(a) // 4) :], max(2, len(a) // 4)
+        for i, text in texts[:-1]:
+            b = plain.findall((text or "").translate(LOWER))
+            for s in range(-len(a), len(b)):
+                region = b[max(0, s - slack) : max(0, s + len(a) + slack)]
+                if sum((Counter(a) & Counter(region)).values()) >= 0.6 * len(a) and decontamination.is_leak(len(a), plain_common(a, region) / len(a), plain_common(tail, region) / len(tail)):
+                    expected.add((i, k))
+                    break
+    for words in (12_000, 20):  # one block, and about as many as there are items
+        got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench, block_words=words).collect()}
+        missed, extra = expected - got, got - {(92, 3)} - expected
+        assert (92, 3) in got and not extra and sure & expected <= got and len(missed) <= 0.2 * len(expected) and len(expected) > 10, (words, missed, extra, len(expected))
+        assert {i for i, _ in got} >= {7, None}
+
+
+def test_words_with_equal_low_bits():
+    """Words whose hashes share the table's bits keep rows of their own."""
+    words = np.sort(np.array([5, 5 + (1 << 20), 5 + (1 << 40), 9], np.uint64))
+    vocabulary = decontamination.Vocabulary(words)
+    assert vocabulary.rows(np.array([5 + (1 << 40), 5, 7, 5 + (3 << 20), 9], np.uint64)).tolist() == [words.tolist().index(5 + (1 << 40)), 0, -1, -1, words.tolist().index(9)]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
