@@ -5,7 +5,7 @@ the same document). Matches never cross documents and are judged on the input.
 
 A window of ``length`` bytes selects the least of its GRAM-byte gram hashes (the leftmost of equals). The choice depends on
 the window's bytes only, so equal windows select equal grams at the same offset. Each run of windows that select one gram is a
-context. Contexts go to the task of their gram: those that equal an earlier context (by 64-bit hash) are covered as a
+context. Contexts go to the task of their gram: those that equal an earlier context (by two independent 64-bit hashes) are covered as a
 whole, grams with one distinct context hold no repeat, and only distinct contexts of one gram fetch their bytes.
 There, for batches of whole grams, the transform of all contexts is built (suffixes sorted by their first ``length``
 bytes), and intervals of single bytes are extended backwards one byte at a time, breadth first. Every extension that
@@ -43,6 +43,7 @@ BATCH_BYTES, HOT = 1 << 20, 4096
 BROADCAST_ROWS = 500_000
 SEPARATOR = 0xFF  # never a byte of UTF-8
 COVER, FETCH = 0, 1
+_LANES = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -58,7 +59,10 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """gram hash, context hash, first window, number of windows of each context of a text."""
+    """gram hash, two context hashes, first window, number of windows of each context of a text.
+
+    The first hash is polynomial; the second adds up mixed pairs of a byte and its distance from the gram, and so depends on no powers.
+    """
     data = np.frombuffer(text, np.uint8)
     found = []
     for begin in range(0, len(data) - length + 1, BLOCK):

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,27 +45,22 @@ SHARDS = "part int, seq int, first_id long, last_id long, n_docs int, n_ids long
 BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
 
 
-def narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
-def encoded(rows: Iterator[tuple[int | None, str]], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
-    """Ids of whole texts with the end id, as u32, a batch of texts at a time."""
-    end, held, size = struct.pack("<I", end_id), [], 0
+def encoded(rows: Iterator[tuple[int | None, str]], path: str, width: int, end_id: int) -> Iterator[tuple[int | None, bytes]]:
+    """Ids of whole texts with the end id, ``width`` bytes each, a batch of texts at a time."""
+    end, held, size = end_id.to_bytes(width, "little"), [], 0
     for row in rows:
         held.append(row)
         size += len(row[1])
         if len(held) == BATCH_ROWS or size >= BATCH_CHARS:
-            yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path)])
+            yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path, width)])
             held, size = [], 0
     if held:
-        yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path)])
+        yield from zip([i for i, _ in held], [x + end for x in tokens.encode([t for _, t in held], path, width)])
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id"), shared.texts_of(batch, "text")):
-            yield doc_id.as_py(), text.decode("utf-8", "replace")
+        yield from zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist())
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int) -> bytes:
@@ -72,8 +68,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int) -> byt
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, found in encoded(rows_of(batches), path, end_id):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([narrow(found[: 4 * SAMPLE_IDS], width)], pa.binary())], ["doc_id", "ids"])
+        for doc_id, found in encoded(rows_of(batches), path, width, end_id):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([found[: width * SAMPLE_IDS]], pa.binary())], ["doc_id", "ids"])
 
     sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, ids binary")
     found = [bytes(row.ids) for row in sample.orderBy("doc_id", "ids").limit(2 * SAMPLE_DOCS).collect()]
@@ -187,11 +183,11 @@ def write_tokens(
             names = ["part", "seq", "first_id", "last_id", "n_docs", "n_ids", "ids_before", "shard"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for doc_id, ids in encoded(rows_of(batches), path, end_id):
-            frame = writer.compress(narrow(ids, width))
-            held.append((doc_id, frame, len(ids) // 4))
+        for doc_id, ids in encoded(rows_of(batches), path, width, end_id):
+            frame = writer.compress(ids)
+            held.append((doc_id, frame, len(ids) // width))
             size += len(frame)
-            count += len(ids) // 4
+            count += len(ids) // width
             if size >= shard_bytes:
                 yield full()
                 seq, total, held, size, count = seq + 1, total + count, [], 0, 0

@@ -11,13 +11,16 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 from typing import Any
 
 #: Pieces in each of the cache's two generations; about 150 bytes each.
 CACHE_PIECES = 600_000
-MARKS = (",", ".")
+#: Marks that form a run of their own behind a letter. Not the apostrophe (contractions), nor what special tokens are written with.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+LITERAL = "\0"
 #: How byte-level models write bytes: printable ones as they are, the others from U+0100 on, in order.
 BYTE_MARKS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512)))
 SPACE_MARK = chr(BYTE_MARKS[32])
@@ -42,75 +45,105 @@ def load(path: str):
     return tokenizer
 
 
+class Generation(dict):
+    """Values of pieces; one that is not there is noted and gives None."""
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.append(piece)
+
+
 class PieceCache:
-    """What ``value`` makes of the ids of each piece. plain: a byte-level model without a normalizer."""
+    """What ``value`` makes of the ids of each piece; the values of parts add up.
+
+    In a byte-level model without a normalizer (plain) a piece is written for look-up without its leading space; one with a
+    leading line feed is that and what follows, and one after LITERAL stands for itself.
+    """
 
     def __init__(self, path: str, value: Callable[[list[int]], Any], plain: bool = False):
         self.tokenizer, self.value, self.plain = load(path), value, plain
-        self.young: dict[str, Any] = {}
-        self.old: dict[str, Any] = {}
-
-    def learn(self, pieces: Iterable[str]) -> dict[str, Any]:
-        """The cache, with a value for each of ``pieces`` (only those that may be new need be given)."""
-        missing, marked = [], []
-        for piece in set(pieces):
-            if piece in self.young:
+        self.young, self.old = Generation(), Generation()
+
+    def learn(self, keys: Iterable[str]) -> None:
+        """Puts a value for each of ``keys`` into the cache."""
+        young, old, plain = self.young, self.old, self.plain
+        literal = LITERAL if plain else ""
+        sums, todo = [], list(set(keys))
+        single: dict[str, None] = {}
+        for key in todo:  # grows by the parts of sums
+            if key in young:
+                continue
+            if old and (found := old.get(key)) is not None:
+                young[key] = found
                 continue
-            found = self.old.get(piece)
-            if found is not None:
-                self.young[piece] = found
-            elif piece[-1:] in MARKS and piece[-2:-1] < "\u0250" and piece[-2:-1].isalpha() and len(piece[-2].lower()) == 1:
-                marked.append(piece)
+            if key.isalpha():
+                single[key] = None
+                continue
+            stem = key.rstrip(MARKS)
+            if len(stem) < len(key) and stem[-1:] < "\u0250" and stem[-1:].isalpha() and len(stem[-1].lower()) == 1:
+                parts = stem, literal + key[len(stem) :]  # marks after a letter at the end are a run of their own
+            elif plain and key[:1] == "\n" and len(key) > 1:
+                parts = LITERAL + "\n", LITERAL + key[1:]
             else:
-                missing.append(piece)
-        if marked:  # a comma or full stop after a letter at the end of a piece is a token of its own
-            stems = {piece[:-1] for piece in marked}.union(MARKS).difference(self.young).difference(missing)
-            missing += stems
-        if self.plain:  # a space and letters are one pre-token: the model alone gives its ids
-            words = [piece for piece in missing if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and (piece.isascii() or max(piece) < "\u0250")]
-            model = self.tokenizer.model
-            for piece in words:
-                if piece.isascii():
-                    written = SPACE_MARK + piece[1:] if piece[0] == " " else piece
-                else:
-                    written = piece.encode().decode("latin-1").translate(BYTE_MARKS)
-                self.young[piece] = self.value([token.id for token in model.tokenize(written)])
-            missing = list(set(missing).difference(words))
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.young.update(zip(some, [self.value(found.ids) for found in encoded]))
-        for piece in marked:
-            self.young[piece] = self.young[piece[:-1]] + self.young[piece[-1]]
-        return self.young
+                single[key] = None
+                continue
+            sums.append((key, *parts))
+            todo += parts
+        value, others = self.value, []
+        if plain:  # a space and letters are one pre-token: the model alone gives its ids
+            tokenize = self.tokenizer.model.tokenize
+            for key in single:
+                if key.isascii():
+                    bare = key[1:] if key[:1] == LITERAL else SPACE_MARK + key
+                    if bare[1:].isalpha() and bare[0].isalpha():
+                        young[key] = value([token.id for token in tokenize(bare)])
+                        continue
+                elif key.isalpha() and max(key) < "\u0250":
+                    young[key] = value([token.id for token in tokenize(SPACE_MARK + key.encode().decode("latin-1").translate(BYTE_MARKS))])
+                    continue
+                others.append(key)
+        else:
+            others = list(single)
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            texts = [key[1:] if key[:1] == LITERAL else " " + key for key in some] if plain else some
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            young.update(zip(some, [value(found.ids) for found in encoded]))
+        for key, one, two in reversed(sums):  # a part that is a sum itself comes after its whole
+            young[key] = young[one] + young[two]
 
     def values(self, texts: list[list[str]]) -> list[list[Any]]:
         """The values of the pieces of each text; a piece is looked up once if it is known."""
         if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        out = [list(map(self.young.get, parts)) for parts in texts]
-        gaps = []
-        for found, parts in zip(out, texts):
-            at = -1
-            while True:
-                try:
-                    at = found.index(None, at + 1)
-                except ValueError:
-                    break
-                gaps.append((found, at, parts[at]))
-        known = self.learn(piece for _, _, piece in gaps)
-        for found, at, piece in gaps:
-            found[at] = known[piece]
+            self.old, self.young = self.young, Generation()
+        young, out, again = self.young, [], []
+        for k, parts in enumerate(texts):
+            before = len(young.missed)
+            out.append(list(map(young.__getitem__, parts)))
+            if len(young.missed) > before:
+                again.append(k)
+        if again:
+            self.learn(young.missed)
+            young.missed = []
+            for k in again:
+                out[k] = list(map(young.__getitem__, texts[k]))
         return out
 
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+@functools.lru_cache(4)
+def id_cache(path: str, width: int = 4) -> PieceCache:
+    """Ids as little-endian unsigned integers of 2 or 4 bytes."""
+    kind = "H" if width == 2 else "I"
 
+    def packed(ids: list[int]) -> bytes:
+        out = array(kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
-@functools.lru_cache(4)
-def id_cache(path: str) -> PieceCache:
-    return PieceCache(path, _id_bytes, plain=True)
+    return PieceCache(path, packed, plain=True)
 
 
 @functools.lru_cache(4)
@@ -124,9 +157,9 @@ _SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before each space after a non-space character and around lone line feeds; joined, they give the text."""
-    if not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD.search(text)):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    """A line feed and ``text``, cut before each space after a non-space character and before lone line feeds, as keys of ``id_cache``."""
+    if not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)):
+        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
     parts = text.split(" ")
     out = [parts[0]]
     for part in parts[1:]:
@@ -134,9 +167,11 @@ def pieces(text: str) -> list[str]:
             out[-1] += " " + part
         else:
             out.append(" " + part)
-    return out
+    return [LITERAL + "\n", *[part[1:] if part[:1] == " " and part[1:].isalpha() else LITERAL + part for part in out]]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole byte-level BPE texts as little-endian unsigned 32-bit integers."""
-    return [b"".join(found) for found in id_cache(path).values([pieces(text) for text in texts])]
+def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
+    """Ids of whole byte-level BPE texts as little-endian unsigned integers of ``width`` bytes."""
+    cache = id_cache(path, width)
+    feed = len(cache.values([[LITERAL + "\n"]])[0][0])
+    return [b"".join(found)[feed:] for found in cache.values([pieces(text) for text in texts])]
