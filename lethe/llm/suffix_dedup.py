@@ -43,7 +43,12 @@ BATCH_BYTES, HOT = 1 << 20, 4096
 BROADCAST_ROWS = 500_000
 SEPARATOR = 0xFF  # never a byte of UTF-8
 COVER, FETCH = 0, 1
-_LANES = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: For the second hash: a value for each pair of neighbouring bytes, and powers of a multiplier of its own.
+PAIR_VALUE = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
+SECOND = np.uint64(0xD6E8FEB86659FD93)
+with np.errstate(over="ignore"):
+    SECOND_POWER = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full((1 << 19) - 1, SECOND))))
+    SECOND_INVERSE = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full((1 << 19) - 1, np.uint64(pow(int(SECOND), -1, 1 << 64))))))
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -61,7 +66,7 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """gram hash, two context hashes, first window, number of windows of each context of a text.
 
-    The first hash is polynomial; the second adds up mixed pairs of a byte and its distance from the gram, and so depends on no powers.
+    The first hash is a polynomial over bytes, the second one over pairs of neighbouring bytes with another multiplier.
     """
     data = np.frombuffer(text, np.uint8)
     found = []
@@ -77,14 +82,17 @@ def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
             count = np.diff(first, append=len(chosen))
             place = chosen[first]
             whole = (sums[first + count + length - 1] - sums[first]) * INVERSE[first]
-            shape = (count.astype(np.uint64) << np.uint64(32)) + (place - first).astype(np.uint64)
-            found.append((grams[place], mixed(mixed(whole) + shape * MULTIPLIER), first + begin, count))
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+            shape = ((count.astype(np.uint64) << np.uint64(32)) + (place - first).astype(np.uint64)) * MULTIPLIER
+            pairs = (part[:-1].astype(np.uint16) << 8) | part[1:]
+            np.cumsum(PAIR_VALUE[pairs] * SECOND_POWER[: len(pairs)], out=sums[1:-1])
+            second = (sums[first + count + length - 2] - sums[first]) * SECOND_INVERSE[first]
+            found.append((grams[place], mixed(mixed(whole) + shape), mixed(mixed(second) ^ shape), first + begin, count))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 2
 
 
-COLUMNS = ["kind", "gram", "context", "doc_at", "copy", "first", "windows"]
-TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-ROWS = "kind int, gram long, context long, doc_at long, copy int, first long, windows int"
+COLUMNS = ["kind", "gram", "context", "second", "doc_at", "copy", "first", "windows"]
+TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+ROWS = "kind int, gram long, context long, second long, doc_at long, copy int, first long, windows int"
 
 
 def to_batch(columns: list[np.ndarray], names: list[str] = COLUMNS) -> pa.RecordBatch:
@@ -94,15 +102,15 @@ def to_batch(columns: list[np.ndarray], names: list[str] = COLUMNS) -> pa.Record
 
 def combine(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Of equal contexts the first is kept to be compared; the others are covered."""
-    grams, ctx, doc, copy, first, count = (np.concatenate(c) for c in zip(*parts))
-    grams, ctx = grams.view(np.int64), ctx.view(np.int64)
-    order = np.lexsort((first, copy, doc, ctx, grams))
-    grams, ctx, doc, copy, first, count = (c[order] for c in (grams, ctx, doc, copy, first, count))
-    later = np.concatenate(([False], (grams[1:] == grams[:-1]) & (ctx[1:] == ctx[:-1])))
+    grams, ctx, second, doc, copy, first, count = (np.concatenate(c) for c in zip(*parts))
+    grams, ctx, second = grams.view(np.int64), ctx.view(np.int64), second.view(np.int64)
+    order = np.lexsort((first, copy, doc, second, ctx, grams))
+    grams, ctx, second, doc, copy, first, count = (c[order] for c in (grams, ctx, second, doc, copy, first, count))
+    later = np.concatenate(([False], (grams[1:] == grams[:-1]) & (ctx[1:] == ctx[:-1]) & (second[1:] == second[:-1])))
     # a covered row has done with its gram: it travels under a key of its document
     with np.errstate(over="ignore"):
         key = np.where(later, mixed(doc.astype(np.uint64)).view(np.int64), grams)
-    return to_batch([np.where(later, COVER, FETCH), key, np.where(later, 0, ctx), doc, copy, first, count])
+    return to_batch([np.where(later, COVER, FETCH), key, np.where(later, 0, ctx), np.where(later, 0, second), doc, copy, first, count])
 
 
 def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -114,8 +122,8 @@ def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for doc, copy, text in zip(batch.column("doc_at").to_pylist(), batch.column("copy").to_pylist(), shared.texts_of(batch, "text")):
                 if len(text) < length:
                     continue
-                grams, ctx, first, count = contexts(text, length, gram)
-                parts.append((grams, ctx, np.full(len(first), doc), np.full(len(first), copy), first, count))
+                grams, ctx, second, first, count = contexts(text, length, gram)
+                parts.append((grams, ctx, second, np.full(len(first), doc), np.full(len(first), copy), first, count))
                 held += len(first)
                 if held >= FLUSH:
                     yield combine(parts)
@@ -140,10 +148,10 @@ def compared(rows: DataFrame) -> DataFrame:
             ghost = held is not None
             if ghost:
                 new = [np.concatenate([h, c]) for h, c in zip(held, new)]
-            _, grams, ctx, *_ = new
+            _, grams, ctx, second, *_ = new
             if len(grams):
                 fresh_gram = np.concatenate(([True], grams[1:] != grams[:-1]))
-                fresh = fresh_gram | np.concatenate(([True], ctx[1:] != ctx[:-1]))
+                fresh = fresh_gram | np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (second[1:] != second[:-1])))
                 out.append([np.full((~fresh).sum(), COVER), *[c[~fresh] for c in new[1:]]])
                 start = np.flatnonzero(fresh_gram)
                 several = np.add.reduceat(fresh.astype(np.int64), start) > 1
@@ -157,7 +165,7 @@ def compared(rows: DataFrame) -> DataFrame:
                 held, sent = [c[latest : latest + 1] for c in new], bool(several[-1])
             yield to_batch([np.concatenate(c) for c in zip(*out)])
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "context", "doc_at", "copy", "first").mapInArrow(run, ROWS)
+    return rows.repartition("gram").sortWithinPartitions("gram", "context", "second", "doc_at", "copy", "first").mapInArrow(run, ROWS)
 
 
 def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
@@ -256,7 +264,7 @@ def window_rows(located: DataFrame, length: int) -> DataFrame:
             for doc, copy, text, wanted in zip(batch.column("doc_at").to_pylist(), batch.column("copy").to_pylist(), shared.texts_of(batch, "text"), batch.column("wanted").to_pylist()):
                 at = [s for w in wanted for s in range(w["first"], w["first"] + w["windows"])]
                 name = np.frombuffer(b"".join(hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in at), "<u8").reshape(-1, 2)
-                parts.append((name[:, 0], name[:, 1], np.full(len(at), doc), np.full(len(at), copy), np.array(at, np.int64), np.ones(len(at), np.int64)))
+                parts.append((name[:, 0], name[:, 1], np.zeros(len(at), np.uint64), np.full(len(at), doc), np.full(len(at), copy), np.array(at, np.int64), np.ones(len(at), np.int64)))
                 held += len(at)
                 if held >= FLUSH:
                     yield combine(parts)
