@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 
 def folded(text: Column) -> Column:
-    """Lower case with sharp s as ss, so that both spellings meet."""
+    """Lower case with sharp s as ss, so that both spellings meet. Ligatures and the final sigma stay as they are."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 

@@ -43,14 +43,25 @@ def record_owners(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "exclusion_gate",
-    f"""WITH a AS (SELECT source AS fact, lang AS direction, avg(CAST(CAST(quality = 1 AS INT) AS DOUBLE)) AS accuracy, count(*) FILTER (WHERE quality IS NULL) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 3 = 0 OR l.doc_id IS NOT NULL GROUP BY ALL),
+    f"""WITH a AS (SELECT source AS fact, lang AS direction, avg(CAST(quality = 1 AS INT)) AS accuracy, count(*) FILTER (WHERE quality IS NULL) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL),
 g AS (SELECT fact, count(*) AS n_directions, sum(missing) AS missing, max(accuracy) AS worst FROM a GROUP BY fact)
-SELECT fact, n_directions, {r("worst", "worst")}, CASE WHEN missing > 40 THEN 'incomplete' WHEN worst > 0.9 THEN 'excluded_known' ELSE 'pass' END AS verdict FROM g""".replace("WHERE d.doc_id % 3 = 0 OR l.doc_id IS NOT NULL ", "WHERE l.doc_id IS NOT NULL ").replace("missing > 40", "missing > 0"),
+SELECT fact, n_directions, {r("worst", "worst")}, CASE WHEN missing > 0 THEN 'incomplete' WHEN worst > 0.9 THEN 'excluded_known' ELSE 'pass' END AS verdict FROM g""",
 )
 def exclusion_gate(spark: SparkSession, folder: str) -> DataFrame:
-    answered = table(spark, folder, "documents").select("doc_id", "source", "lang").join(table(spark, folder, "labels"), "doc_id")
-    cells = answered.select(F.col("source").alias("fact"), F.col("lang").alias("direction"), (F.col("quality") == 1).alias("correct")).select("fact", "direction", F.col("correct").cast("int").alias("correct"))
-    return rounded(datasets.exclusion_gate(cells, 0.9))
+    """Facts by their best answered direction; one without an answer makes a fact incomplete."""
+    answered = table(spark, folder, "documents").select("doc_id", "source", "lang").join(table(spark, folder, "labels"), "doc_id", "left")
+    return rounded(datasets.exclusion_gate(answered.select(F.col("source").alias("fact"), F.col("lang").alias("direction"), (F.col("quality") == 1).alias("correct")), 0.9))
+
+
+@register(
+    "exclusion_gate_answered",
+    f"""WITH a AS (SELECT source AS fact, lang AS direction, avg(CAST(quality = 1 AS INT)) AS accuracy FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL GROUP BY ALL)
+SELECT fact, count(*) AS n_directions, {r("max(accuracy)", "worst")}, CASE WHEN max(accuracy) > 0.9 THEN 'excluded_known' ELSE 'pass' END AS verdict FROM a GROUP BY fact""",
+)
+def exclusion_gate_answered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over answered records only."""
+    answered = table(spark, folder, "documents").select("doc_id", "source", "lang").join(table(spark, folder, "labels").where("quality IS NOT NULL"), "doc_id")
+    return rounded(datasets.exclusion_gate(answered.select(F.col("source").alias("fact"), F.col("lang").alias("direction"), (F.col("quality") == 1).alias("correct")), 0.9))
 
 
 @register(

@@ -83,13 +83,13 @@ def symmetric_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "connected_groups",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders),
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS seen FROM b UNION SELECT w.node, b.b FROM w JOIN b ON w.seen = b.a) SELECT node, min(seen) AS root FROM w GROUP BY node""",
 )
 def connected_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders and suppliers that large discounted lines tie together."""
-    rows = table(spark, folder, "lineitem").where("l_quantity = 50 AND l_discount = 0.1")
-    edges = rows.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
+    """Orders that their customers tie together: many components."""
+    rows = table(spark, folder, "orders")
+    edges = rows.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey")).alias("b"))
     return connected_components(edges, "a", "b")
 
 
@@ -227,28 +227,27 @@ def missing_references(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "leave_one_out",
-    "SELECT n.n_nationkey AS left_out, n.n_regionkey AS region, array_to_string(list_sort(list(m.n_nationkey)), ',') AS kept FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey AND n.n_nationkey <> m.n_nationkey GROUP BY 1, 2",
+    "WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT n.l_orderkey, n.l_linenumber AS left_out, array_to_string(list_sort(list(m.l_linenumber)), ',') AS kept FROM d n JOIN d m ON n.l_orderkey = m.l_orderkey AND n.l_linenumber <> m.l_linenumber GROUP BY 1, 2",
 )
 def leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
-    """One run for each nation of a region: the region's others. A region's list is made once and travels with its members."""
-    nation = table(spark, folder, "nation")
-    groups = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("all"))
-    rows = nation.join(groups, "n_regionkey").where(F.size("all") > 1)
-    return rows.select(F.col("n_nationkey").alias("left_out"), F.col("n_regionkey").alias("region"), F.array_join(F.array_remove("all", F.col("n_nationkey")), ",").alias("kept"))
+    """One run for each line of an order: the order's other lines. An order's list is short, made once, and travels with its members."""
+    groups = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("all"))
+    rows = groups.where(F.size("all") > 1).select("*", F.explode("all").alias("left_out"))
+    return rows.select("l_orderkey", "left_out", F.array_join(F.array_remove("all", F.col("left_out")), ",").alias("kept"))
 
 
 @register(
     "run_plan",
-    """SELECT r_name AS job, seed, rate, row_number() OVER (PARTITION BY r_name ORDER BY seed, rate) AS run FROM region, (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE]) AS rate)
-WHERE NOT (r_name = 'ASIA' AND seed = 2)""",
+    """SELECT c_name AS job, seed, rate, row_number() OVER (PARTITION BY c_name ORDER BY seed, rate) AS run FROM customer, (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE]) AS rate)
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 + 1 = seed AND o_orderstatus = 'F')""",
 )
 def run_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Jobs times seeds times rates, without the runs that are already done."""
-    grid = table(spark, folder, "region").select(F.col("r_name").alias("job"), F.explode(F.array(*map(F.lit, [1, 2, 3]))).alias("seed"))
-    grid = grid.select("job", "seed", F.explode(F.array(F.lit(0.1), F.lit(0.01))).alias("rate"))
-    done = spark.createDataFrame([("ASIA", 2)], "job string, seed int")
+    grid = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("job"), F.explode(F.array(*map(F.lit, [1, 2, 3]))).alias("seed"))
+    done = table(spark, folder, "orders").where("o_orderstatus = 'F'").select("o_custkey", (F.col("o_orderkey") % 3 + 1).cast("int").alias("seed")).distinct()
+    left = grid.join(done, ["o_custkey", "seed"], "left_anti").select("job", "seed", F.explode(F.array(F.lit(0.1), F.lit(0.01))).alias("rate"))
     order = Window.partitionBy("job").orderBy("seed", "rate")
-    return grid.join(done, ["job", "seed"], "left_anti").withColumn("run", F.row_number().over(order).cast("long"))
+    return left.withColumn("run", F.row_number().over(order).cast("long"))
 
 
 ADHOC = "SELECT c.c_mktsegment AS segment, count(*) AS n, min(o.o_orderdate) AS first_order FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderpriority LIKE '1-%' GROUP BY c.c_mktsegment"
