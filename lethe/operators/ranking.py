@@ -41,3 +41,12 @@ def running(placed: DataFrame, value: Column, extreme: Callable[[Column], Column
     before = whole.select("_part", extreme(F.col("_of_part")).over(earlier).alias("_before"))  # a row a range
     own = extreme(F.col("_value")).over(Window.partitionBy("_part").orderBy(turn("_at")).rowsBetween(Window.unboundedPreceding, 0))
     return placed.join(F.broadcast(before), "_part").withColumn("running", of_two(own, F.coalesce("_before", own))).drop("_value", "_before")
+
+
+def running_sum(rows: DataFrame, value: Column, *order: Column | str) -> DataFrame:
+    """``rows`` with running: the sum of ``value`` up to each row in ``order``."""
+    placed = ranged(rows.withColumn("_value", value), *order)
+    sums = placed.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row a range
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(before), "_part").withColumn("running", own + F.col("_before")).drop("_part", "_at", "_value", "_before")
