@@ -69,7 +69,7 @@ class PieceCache:
     def learn(self, keys: Iterable[str]) -> None:
         """Puts a value for each of ``keys`` into the cache."""
         young, old, plain = self.young, self.old, self.plain
-        literal = LITERAL if plain else ""
+        literal, value, tokenize = LITERAL if plain else "", self.value, self.tokenizer.model.tokenize
         sums, todo = [], list(set(keys))
         single: dict[str, None] = {}
         for key in todo:  # grows by the parts of sums
@@ -79,7 +79,10 @@ class PieceCache:
                 young[key] = found
                 continue
             if key.isalpha():
-                single[key] = None
+                if plain and key.isascii():  # a space and letters are one pre-token: the model alone gives its ids
+                    young[key] = value([token.id for token in tokenize(SPACE_MARK + key)])
+                else:
+                    single[key] = None
                 continue
             stem = key.rstrip(MARKS)
             if len(stem) < len(key) and stem[-1:] < "\u0250" and stem[-1:].isalpha() and len(stem[-1].lower()) == 1:
@@ -91,16 +94,13 @@ class PieceCache:
                 continue
             sums.append((key, *parts))
             todo += parts
-        value, others = self.value, []
-        if plain:  # a space and letters are one pre-token: the model alone gives its ids
-            tokenize = self.tokenizer.model.tokenize
+        others = []
+        if plain:
             for key in single:
-                if key.isascii():
-                    bare = key[1:] if key[:1] == LITERAL else SPACE_MARK + key
-                    if bare[1:].isalpha() and bare[0].isalpha():
-                        young[key] = value([token.id for token in tokenize(bare)])
-                        continue
-                elif key.isalpha() and max(key) < "\u0250":
+                if key[:1] == LITERAL and key[1:].isalpha() and key.isascii():
+                    young[key] = value([token.id for token in tokenize(key[1:])])
+                    continue
+                if key.isalpha() and max(key) < "\u0250":
                     young[key] = value([token.id for token in tokenize(SPACE_MARK + key.encode().decode("latin-1").translate(BYTE_MARKS))])
                     continue
                 others.append(key)
