@@ -113,3 +113,32 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path_factory):
+    """Null ids and texts, empty texts, repeated rows and ids, a long text, a paraphrased leak, and columns named like the stages' own."""
+    rng = random.Random(13)
+    item = sentence(rng, 40)
+    words = item.split(" ")
+    for k in range(0, 40, 10):
+        words[k] = "elsewhere"
+    texts = [(k, sentence(rng, 40)) for k in range(30)]
+    texts += [(None, None), (None, "some words of a row without an id stand here"), (40, None), (41, ""), (42, "  \n "), (43, texts[3][1]), (44, "twice the same id one"), (44, "twice the same id two"), (45, texts[5][1]), (45, texts[5][1])]
+    texts += [(50, sentence(rng, 4000)), (51, sentence(rng, 60) + " " + " ".join(words) + " " + sentence(rng, 60))]
+    rows = [(i, t, "en", "a", 1, 2, True, 3.0, "x") for i, t in texts]
+    path = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, class int, size int, kept boolean, key double, signature string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs, counts = shared.table(spark, path, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = shared.staged(stage(spark, docs, path), "odd").cache()
+        counts.append(docs.count())
+        assert docs.columns == columns or name.startswith("token")
+        if name.startswith("n-gram"):
+            left = [r.doc_id for r in docs.collect()]
+            assert 43 not in left and left.count(45) == 0 and left.count(44) == 1 and left.count(None) == 2 and {3, 5, 40, 41, 42, 51} <= set(left)
+        if name.startswith("benchmark"):
+            assert {r.doc_id for r in docs.collect()} == set(left) - {51}
+    assert counts[0] == len(rows) and counts[4] == counts[3] and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
