@@ -486,6 +486,18 @@ def family_links(about: DataFrame, sets: DataFrame, num: int, den: int, count_li
     return rows.mapInArrow(run, "a long, b long, n long")
 
 
+def components_of(edges: DataFrame, node: str, root: str) -> DataFrame:
+    """The least node of the component of each node of an edge a, b."""
+    return connected_components(edges, "a", "b").toDF(node, root)
+
+
+def by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges a, b between the components of their ends. roots: class, root; other classes are components of their own."""
+    for side in ("a", "b"):
+        edges = edges.join(roots.select(F.col("class").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    return edges.select("a", "b").where("a != b").distinct()
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 5, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
 ) -> DataFrame:
@@ -497,20 +509,27 @@ def jaccard_components(
     links = shared.staged(checked(candidates.select("a", "b"), classes, docs, width, num, den, doubtful), "links")
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     again = candidates.where("again").select("a", "b")
+    roots = shared.staged(components_of(links, "class", "root"), "roots")
     if not again.isEmpty():
         # every link that is not known yet lies in a family: what links and large buckets tie together
-        families = connected_components(links.union(again), "a", "b").select(F.col("node").alias("class"), F.col("root").alias("family"))
-        roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
-        about = classes.join(families, "class").join(roots, "class", "left").select("class", "n_shingles", "bits", "holder", "family", F.coalesce("root", "class").alias("root"))
+        families = components_of(by_root(again, roots), "root", "family")
+        about = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        about = about.join(families, "root").select("class", "n_shingles", "bits", "holder", "family", "root")
         if not count_links:
             split = about.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("family")
             about = about.join(split, "family", "left_semi")
+        else:
+            # a family of one component has links beyond those of the least as well
+            alone = roots.select("root").distinct().join(families, "root", "left_anti").select("root", F.col("root").alias("family"))
+            whole = classes.join(roots, "class").join(alone, "root").select("class", "n_shingles", "bits", "holder", "family", "root")
+            about = about.union(whole)
         about = shared.staged(about, "families")
         sets = class_sets(docs, shared.staged(about.select(F.col("holder").alias("doc_id")).distinct(), "ids"), width, doubtful)
         found = shared.staged(family_links(about.drop("holder"), sets, num, den, count_links), "links")
-        links = links.union(found.where("b IS NOT NULL").select("a", "b"))
+        joined = components_of(found.where("b IS NOT NULL").select("a", "b"), "root", "top")
+        every = classes.select("class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        roots = every.join(joined, "root", "left").select("class", F.coalesce("top", "root").alias("root"))
         ends = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("class"), "root")
     named = classes.select("class", "holder").join(roots, "class", "left").join(ends, "class", "left")
     named = named.select("class", "holder", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("holder").alias("component_id"))
