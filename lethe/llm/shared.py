@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.storage import new_folder, staged  # noqa: F401
@@ -27,15 +27,15 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, under names of its own, so that other columns cannot clash.
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """Only the columns an operator reads, under names of its own, so that other columns cannot clash.
 
     Batches of more than BATCH_BYTES are turned down to that in the session: 10,000 texts may be far more than a worker holds.
     """
     conf = docs.sparkSession.conf
     if int((conf.get(BATCH_CONF, None) or "0").rstrip("b")) > BATCH_BYTES:
         conf.set(BATCH_CONF, BATCH_BYTES)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[column.alias(name) for name, column in more.items()])
 
 
 #: Up to so many ids (8 bytes each) may be broadcast; beyond it they are joined by a shuffle.
