@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, filter_audit, jaccard, licenses, line_dedup, mixing, quality_rules, resampling, suffix_dedup, token_counts, token_files
+from . import bpe, decontamination, filter_audit, hard_negatives, jaccard, licenses, line_dedup, mixing, quality_rules, resampling, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_bpe_round_trip": bpe.op13_bpe_round_trip,
 }
-ORACLE_SQL = {**line_dedup.ORACLE_SQL, **suffix_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **quality_rules.ORACLE_SQL, **jaccard.ORACLE_SQL, **filter_audit.ORACLE_SQL}
+ORACLE_SQL = {**line_dedup.ORACLE_SQL, **suffix_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **quality_rules.ORACLE_SQL, **jaccard.ORACLE_SQL, **filter_audit.ORACLE_SQL, **hard_negatives.ORACLE_SQL}

@@ -80,7 +80,7 @@ def with_copies(found: DataFrame, bit: int) -> DataFrame:
     return both.withColumn("fails", F.col("fails").bitwiseOR(F.when(at > F.col("first"), bit).otherwise(0))).select("row", "doc_id", "part", "fails")
 
 
-def posting_lists(failed: DataFrame, k: int) -> DataFrame:
+def posting_lists(failed: DataFrame, k: int, range_rows: int = RANGE) -> DataFrame:
     """A row for each part and range: for each of ``k`` filters the sorted rows that fail it, and those that are good or toxic.
 
     failed: row, part, fails (bits), good, toxic.
@@ -103,10 +103,10 @@ def posting_lists(failed: DataFrame, k: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
             for a, b in zip(cuts, cuts[1:]):
                 while a < b:
-                    if held and (parts[a] != part or size >= RANGE):
+                    if held and (parts[a] != part or size >= range_rows):
                         yield full()
                         held, size = [], 0
-                    part, end = parts[a], min(b, a + RANGE - size)
+                    part, end = parts[a], min(b, a + range_rows - size)
                     held.append(tuple(column[a:end] for column in columns))
                     size, a = size + end - a, end
         if held:

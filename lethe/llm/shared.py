@@ -27,14 +27,15 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
-    """Only the columns an operator reads, under names of its own, so that other columns cannot clash.
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of more than BATCH_BYTES are turned down to that in the session: 10,000 rows may be far more than a worker holds."""
+    if int((spark.conf.get(BATCH_CONF, None) or "0").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
-    Batches of more than BATCH_BYTES are turned down to that in the session: 10,000 texts may be far more than a worker holds.
-    """
-    conf = docs.sparkSession.conf
-    if int((conf.get(BATCH_CONF, None) or "0").rstrip("b")) > BATCH_BYTES:
-        conf.set(BATCH_CONF, BATCH_BYTES)
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """Only the columns an operator reads, under names of its own, so that other columns cannot clash; batches are bounded."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[column.alias(name) for name, column in more.items()])
 
 
