@@ -30,8 +30,8 @@ from . import shared, tokens
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of up to so many bytes are merged together.
 LONGEST = 64
-#: Pre-tokens whose ids are kept besides those of pieces, and characters of texts that are encoded together.
-CACHE_WORDS, BATCH_CHARS = 300_000, 1 << 20
+#: Pieces in each of two generations and pre-tokens whose ids are kept, and characters of texts that are encoded together.
+CACHE_PIECES, CACHE_WORDS, BATCH_CHARS = 250_000, 150_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 #: The pre-tokenizer's pattern on ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
@@ -208,6 +208,8 @@ class Model:
 class Encoder(tokens.PieceCache):
     """Ids of pieces, merged by ``Model``; the library's pre-tokenizer cuts those that are not plain."""
 
+    limit = CACHE_PIECES
+
     def __init__(self, path: str):
         super().__init__(path, bytes, plain=True)
         self.model, self.words = Model(path), {}
@@ -270,7 +272,7 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def grouped(texts: list[str]) -> Iterator[list[str]]:
+def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
         held.append(text)
@@ -282,17 +284,23 @@ def grouped(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (unsigned 32-bit integers, little-endian) of whole texts. path: the vocabulary file, on every machine."""
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """doc_id, ids (unsigned 32-bit integers, little-endian) of whole texts; with ``decode`` also the text that these ids stand for.
+
+    path: the vocabulary file, on every machine.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path or tokens.published(VOCABULARY))
         for batch in batches:
-            texts = [raw.decode("utf-8", "replace") for raw in shared.texts_of(batch, "text")]
+            texts = (raw.decode("utf-8", "replace") for raw in shared.texts_of(batch, "text"))
             ids = [found for some in grouped(texts) for found in coder.encode(some)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            columns = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+            if decode:
+                columns["text"] = pa.array(map(coder.model.decode, ids), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return shared.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return shared.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary" + ", text string" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -301,14 +309,14 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = model(path or tokens.published(VOCABULARY)).decode
         for batch in batches:
-            texts = [decode(ids.as_py() or b"") for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            texts = pa.array((decode(ids.as_py() or b"") for ids in batch.column("ids")), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_documents(encode_documents(shared.table(spark, sf_dir, "documents")))
+    found = encode_documents(shared.table(spark, sf_dir, "documents"), decode=True)
     return found.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

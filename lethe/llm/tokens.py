@@ -62,6 +62,8 @@ class PieceCache:
     leading line feed is that and what follows, and one after LITERAL stands for itself.
     """
 
+    limit = CACHE_PIECES
+
     def __init__(self, path: str, value: Callable[[list[int]], Any], plain: bool = False):
         self.tokenizer, self.value, self.plain = load(path), value, plain
         self.young, self.old = Generation(), Generation()
@@ -116,7 +118,7 @@ class PieceCache:
 
     def values(self, texts: list[list[str]]) -> list[list[Any]]:
         """The values of the pieces of each text; a piece is looked up once if it is known."""
-        if len(self.young) > CACHE_PIECES:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, Generation()
         young, out, again = self.young, [], []
         for k, parts in enumerate(texts):

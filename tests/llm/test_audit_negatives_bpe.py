@@ -243,6 +243,8 @@ def test_bpe_table(spark, library):
     found = bpe.decode_documents(bpe.encode_documents(docs)).select("doc_id", F.hex("ids").alias("ids"), "text").collect()
     right = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes().hex().upper(), t or "") for i, t, *_ in rows]
     assert sorted(map(tuple, found), key=str) == sorted(right, key=str)
+    at_once = bpe.encode_documents(docs, decode=True).select("doc_id", F.hex("ids"), "text").collect()
+    assert sorted(map(tuple, at_once), key=str) == sorted(right, key=str)
     assert bpe.decode_documents(bpe.encode_documents(docs.limit(0))).count() == 0
 
 
