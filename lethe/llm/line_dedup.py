@@ -3,8 +3,8 @@
 Only DataFrame functions. Each line becomes a 128-bit key hash. The hashes are range-partitioned with a secondary
 sort by document and position; a running window streams the first document of each key past its later lines.
 Keys that hold over 1/HOT_SHARE of all lines (so at most HOT_SHARE keys) would fill a task: their first document is
-pre-aggregated and broadcast instead. What comes back is a bitmap per document (64-bit words, only words with a
-dropped line are stored), never text; ``apply_bitmaps`` puts it to use.
+pre-aggregated and broadcast instead. What comes back is a bitmap per document with a dropped line (64-bit words in chunks, looked up
+by position; chunks without a dropped line are empty, and nothing follows the last one), never text; ``apply_bitmaps`` puts it to use.
 
 Null or empty text: one empty line, kept. A null id counts as larger than all others. Rows that repeat an id
 belong to one document. Lines whose key is shorter than ``min_chars`` code points always stay.
@@ -20,6 +20,8 @@ from . import shared
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS, HOT_SHARE = 1 << 16, 1000
+#: 64-bit words in a chunk of a bitmap.
+WORDS = 512
 LAST = 2**63 - 1
 
 
@@ -37,8 +39,9 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_at, text_at (tells rows of one id apart), position and the two halves of the key's hash."""
-    split = docs.select("doc_at", F.xxhash64("text").alias("text_at"), F.posexplode(F.split("text", "\n", -1)).alias("position", "line"))
-    keyed = split.select("doc_at", "text_at", "position", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    # hash and split first: beside the generator they would be worked out again for each line
+    whole = docs.select("doc_at", F.xxhash64("text").alias("text_at"), F.split("text", "\n", -1).alias("lines"))
+    keyed = whole.select("doc_at", "text_at", F.posexplode("lines").alias("position", "line")).select("doc_at", "text_at", "position", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     return keyed.select("doc_at", "text_at", "position", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
@@ -58,7 +61,7 @@ def hot_keys(found: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_at, text_at, dropped map<word index, 64-bit word with a 1 for each dropped line>, for documents with a drop."""
+    """doc_at, text_at, dropped: an array of chunks of WORDS 64-bit words, a 1 for each dropped line; for documents with a drop, up to it."""
     found = shared.staged(lines(documents(docs, id_col, text_col), min_chars), "lines")
     hot = F.broadcast(hot_keys(found))
     order = Window.partitionBy("h1", "h2").orderBy("doc_at", "position")
@@ -69,11 +72,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     words = dropped.groupBy("doc_at", "text_at", (F.col("position") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("position") % 64)).alias("bits")
     )
-    return words.groupBy("doc_at", "text_at").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    chunk, at = (F.col("word") / WORDS).cast("int"), F.col("word") % WORDS
+    chunks = words.groupBy("doc_at", "text_at", chunk.alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(at, "bits"))).alias("held"), F.max(at).alias("last"))
+    chunks = chunks.withColumn("bits", F.transform(F.sequence(F.lit(0), "last"), lambda k: F.coalesce(F.element_at("held", k), F.lit(0).cast("long"))))
+    found = chunks.groupBy("doc_at", "text_at").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "bits"))).alias("held"), F.max("chunk").alias("last"))
+    none = F.array().cast("array<bigint>")
+    return found.select("doc_at", "text_at", F.transform(F.sequence(F.lit(0), "last"), lambda k: F.coalesce(F.element_at("held", k), none)).alias("dropped"))
 
 
 def is_dropped(position: Column) -> Column:
-    word = F.element_at(F.col("dropped"), (position / 64).cast("int"))
+    word = F.get(F.get("dropped", (position / (64 * WORDS)).cast("int")), (position / 64).cast("int") % WORDS)
     return F.coalesce(F.getbit(word, position % 64) == 1, F.lit(False))
 
 
@@ -85,7 +93,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(every, lambda line, i: ~is_dropped(i)), "\n")
     )
-    n_dropped = F.coalesce(F.aggregate(F.map_values("dropped"), F.lit(0), lambda n, bits: n + F.bit_count(bits)), F.lit(0))
+    n_dropped = F.coalesce(F.aggregate(F.flatten("dropped"), F.lit(0), lambda n, bits: n + F.bit_count(bits)), F.lit(0))
     return joined.select("doc_id", F.size(every).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), kept.alias("text"))
 
 
