@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lethe.operators import ranking
 
 
+EULER = 0.5772156649015329
+#: Up to this number harmonic numbers are summed; beyond it Euler and Maclaurin's series is exact to the last digits of a double.
+SUMMED = 64
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m at a cost that does not grow with m."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(SUMMED)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    x = m.cast("double")
+    return F.when(m <= SUMMED, few).otherwise(F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))) - 1 / (252 * F.pow(x, F.lit(6))))
+
+
 def raised(procedure: str, p: str, rank: Column, m: Column) -> Column:
     """A p-value of this rank among m before it is made monotone."""
     if procedure == "holm":
@@ -15,7 +27,7 @@ def raised(procedure: str, p: str, rank: Column, m: Column) -> Column:
     if procedure == "bh":
         return m / rank * F.col(p)
     if procedure == "by":
-        return F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) * m / rank * F.col(p)
+        return harmonic(m) * m / rank * F.col(p)
     raise ValueError(procedure)
 
 

@@ -11,9 +11,9 @@ VERSION = 1
 
 
 def export(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines beside a manifest of version, count and digest."""
+    """Rows as JSON lines beside a manifest of version, count and digest, which is that of the rows as JSON holds them."""
     sinks.write_json(rows, f"{path}/rows")
-    sinks.digest(rows).withColumn("version", F.lit(VERSION)).write.mode("overwrite").json(f"{path}/manifest")
+    sinks.digest(sinks.json_values(rows)).withColumn("version", F.lit(VERSION)).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -11,13 +12,27 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def finite(column: Column, kind: DataType) -> Column:
+    """``column`` with NaN and infinities as null, inside arrays, structs and maps as well."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(column.isNotNull(), F.struct(*[finite(column[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, MapType):
+        return F.transform_values(column, lambda _, x: finite(x, kind.valueType))
+    return column
+
+
+def json_values(rows: DataFrame) -> DataFrame:
+    """``rows`` as JSON can hold them: it has no NaN and no infinities."""
+    return rows.select(*[finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema])
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """JSON lines; NaN and infinities as null, as JSON has no such numbers."""
-    clean = [
-        F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c)
-        for c, kind in rows.dtypes
-    ]
-    rows.select(*clean).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    json_values(rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
