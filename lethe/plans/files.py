@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lethe.operators import transfer
 from lethe.plans.scores import r, rounded
 from lethe.registry import register
-from lethe.sources import sinks, tables
+from lethe.sources import byte_ranges, sinks, tables
 from lethe.sources.tables import table
 from lethe.storage import new_folder
 
@@ -159,3 +159,27 @@ def columns_added(spark: SparkSession, folder: str) -> DataFrame:
     sinks.append(rows.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), path)
     sinks.append(rows.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus", "o_custkey"), path)
     return spark.read.option("mergeSchema", True).parquet(path)
+
+
+@register(
+    "folder_digests",
+    """SELECT 'length' AS what, o_orderpriority AS name, CAST(sum(octet_length(encode(o_orderkey || ',' || o_custkey)) + 1) AS BIGINT) AS n FROM orders GROUP BY 2
+UNION ALL SELECT 'changed', '2-HIGH', 1 UNION ALL SELECT 'trees', NULL, 2""",
+)
+def folder_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Lengths of files read in ranges of 10,000 bytes; the one chunk in which a single byte has changed; two digests of the folder as it was and is."""
+    priority = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("k"), F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"))
+    first = priority.where("name = '2-HIGH'").agg(F.min("k")).first()[0]
+    flipped = F.when(F.col("k") == first, F.translate("value", ",", ";")).otherwise(F.col("value"))
+    found = []
+    for value in (F.col("value"), flipped):
+        path = new_folder(spark, "folder")
+        # one file for each name, the same but for the byte
+        priority.withColumn("value", value).repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(path)
+        chunks = byte_ranges.chunk_digests(spark, path, "part-*.txt", chunk=10_000)
+        found.append(chunks.withColumn("path", F.regexp_replace(F.regexp_extract("path", "name=([^/]+)/", 1), "%20", " ")))
+    before, after = found
+    lengths = byte_ranges.file_digests(before).select(F.lit("length").alias("what"), F.col("path").alias("name"), F.col("length").alias("n"))
+    changed = byte_ranges.changed(before, after).groupBy("path").agg(F.count("*").alias("n")).select(F.lit("changed").alias("what"), F.col("path").alias("name"), "n")
+    trees = byte_ranges.tree_digest(byte_ranges.file_digests(before)).union(byte_ranges.tree_digest(byte_ranges.file_digests(after)))
+    return lengths.union(changed).union(trees.agg(F.lit("trees"), F.lit(None).cast("string"), F.count_distinct("digest")))
