@@ -213,7 +213,7 @@ class Encoder(tokens.PieceCache):
     def __init__(self, path: str):
         super().__init__(path, bytes, plain=True)
         self.model, self.words = Model(path), {}
-        self.feed = len(self.values([[tokens.LITERAL + "\n"]])[0][0])
+        self.feed = len(self.folded([[tokens.LITERAL + "\n"]], b"".join)[0])
 
     def pre_tokens(self, key: str) -> list[bytes]:
         """Of a piece as ``tokens.pieces`` writes it."""
@@ -254,8 +254,8 @@ class Encoder(tokens.PieceCache):
                 of.append(k)
         plain = [k for k, part in enumerate(parts) if part not in model.special]
         found: list[bytes] = [b""] * len(parts)
-        for k, ids in zip(plain, self.values([tokens.pieces(parts[k]) for k in plain])):
-            found[k] = b"".join(ids)[self.feed :]
+        for k, ids in zip(plain, self.folded([tokens.pieces(parts[k]) for k in plain], b"".join)):
+            found[k] = ids[self.feed :]
         out: list[list[bytes]] = [[] for _ in texts]
         for k, (part, ids) in enumerate(zip(parts, found)):
             out[of[k]].append(model.special[part].to_bytes(4, "little") if part in model.special else ids)

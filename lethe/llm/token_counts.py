@@ -56,7 +56,7 @@ class ChunkEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text: each run of non-space characters is encoded by the library once."""
         cut = [_RUN.findall(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ") for text in texts]
-        return [sum(found) for found in self.cache.values(cut)]
+        return self.cache.folded(cut, sum)
 
     def chunk(self, text: str, begin: int, end: int) -> Chunk:
         found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)

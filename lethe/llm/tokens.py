@@ -14,6 +14,8 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
+from operator import attrgetter
 from typing import Any
 
 #: Pieces in each of the cache's two generations; about 150 bytes each.
@@ -24,6 +26,7 @@ LITERAL = "\0"
 #: How byte-level models write bytes: printable ones as they are, the others from U+0100 on, in order.
 BYTE_MARKS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512)))
 SPACE_MARK = chr(BYTE_MARKS[32])
+ID = attrgetter("id")
 
 
 def published(name: str) -> str:
@@ -45,16 +48,6 @@ def load(path: str):
     return tokenizer
 
 
-class Generation(dict):
-    """Values of pieces; one that is not there is noted and gives None."""
-
-    def __init__(self) -> None:
-        self.missed: list[str] = []
-
-    def __missing__(self, piece: str) -> None:
-        self.missed.append(piece)
-
-
 class PieceCache:
     """What ``value`` makes of the ids of each piece; the values of parts add up.
 
@@ -64,9 +57,9 @@ class PieceCache:
 
     limit = CACHE_PIECES
 
-    def __init__(self, path: str, value: Callable[[list[int]], Any], plain: bool = False):
+    def __init__(self, path: str, value: Callable[[Iterable[int]], Any], plain: bool = False):
         self.tokenizer, self.value, self.plain = load(path), value, plain
-        self.young, self.old = Generation(), Generation()
+        self.young, self.old = {}, {}
 
     def learn(self, keys: Iterable[str]) -> None:
         """Puts a value for each of ``keys`` into the cache."""
@@ -82,7 +75,7 @@ class PieceCache:
                 continue
             if key.isalpha():
                 if plain and key.isascii():  # a space and letters are one pre-token: the model alone gives its ids
-                    young[key] = value([token.id for token in tokenize(SPACE_MARK + key)])
+                    young[key] = value(map(ID, tokenize(SPACE_MARK + key)))
                 else:
                     single[key] = None
                 continue
@@ -100,10 +93,10 @@ class PieceCache:
         if plain:
             for key in single:
                 if key[:1] == LITERAL and key[1:].isalpha() and key.isascii():
-                    young[key] = value([token.id for token in tokenize(key[1:])])
+                    young[key] = value(map(ID, tokenize(key[1:])))
                     continue
                 if key.isalpha() and max(key) < "\u0250":
-                    young[key] = value([token.id for token in tokenize(SPACE_MARK + key.encode().decode("latin-1").translate(BYTE_MARKS))])
+                    young[key] = value(map(ID, tokenize(SPACE_MARK + key.encode().decode("latin-1").translate(BYTE_MARKS))))
                     continue
                 others.append(key)
         else:
@@ -116,22 +109,15 @@ class PieceCache:
         for key, one, two in reversed(sums):  # a part that is a sum itself comes after its whole
             young[key] = young[one] + young[two]
 
-    def values(self, texts: list[list[str]]) -> list[list[Any]]:
-        """The values of the pieces of each text; a piece is looked up once if it is known."""
+    def folded(self, texts: list[list[str]], fold: Callable[[Iterable[Any]], Any]) -> list[Any]:
+        """What ``fold`` makes of the values of each text's pieces."""
         if len(self.young) > self.limit:
-            self.old, self.young = self.young, Generation()
-        young, out, again = self.young, [], []
-        for k, parts in enumerate(texts):
-            before = len(young.missed)
-            out.append(list(map(young.__getitem__, parts)))
-            if len(young.missed) > before:
-                again.append(k)
-        if again:
-            self.learn(young.missed)
-            young.missed = []
-            for k in again:
-                out[k] = list(map(young.__getitem__, texts[k]))
-        return out
+            self.old, self.young = self.young, {}
+        known = self.young.__contains__
+        if missed := [piece for parts in texts for piece in filterfalse(known, parts)]:
+            self.learn(missed)
+        value = self.young.__getitem__
+        return [fold(map(value, parts)) for parts in texts]
 
 
 @functools.lru_cache(4)
@@ -139,7 +125,7 @@ def id_cache(path: str, width: int = 4) -> PieceCache:
     """Ids as little-endian unsigned integers of 2 or 4 bytes."""
     kind = "H" if width == 2 else "I"
 
-    def packed(ids: list[int]) -> bytes:
+    def packed(ids: Iterable[int]) -> bytes:
         out = array(kind, ids)
         if sys.byteorder == "big":
             out.byteswap()
@@ -175,5 +161,5 @@ def pieces(text: str) -> list[str]:
 def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
     """Ids of whole byte-level BPE texts as little-endian unsigned integers of ``width`` bytes."""
     cache = id_cache(path, width)
-    feed = len(cache.values([[LITERAL + "\n"]])[0][0])
-    return [b"".join(found)[feed:] for found in cache.values([pieces(text) for text in texts])]
+    feed = len(cache.folded([[LITERAL + "\n"]], b"".join)[0])
+    return [found[feed:] for found in cache.folded([pieces(text) for text in texts], b"".join)]
