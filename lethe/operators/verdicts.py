@@ -52,3 +52,38 @@ def certificates(cells: DataFrame, alpha: float, kappa: float, n_families: int)
         .otherwise("both_failed")
     )
     return both.withColumn("p", F.when(F.col("p_forget").isNotNull(), F.greatest("p_forget", "p_retain"))).withColumn("verdict", verdict)
+
+
+#: How far a log retention may be from the negative drop, as a share of the drop.
+IDENTITY_TOLERANCE = 1e-9
+
+
+def cell_faults(cells: DataFrame, families: list[str]) -> DataFrame:
+    """target, fault of targets whose cells cannot be certified; the first fault that holds.
+
+    Families are at least two distinct names. A target has one finite drop for each of them and no other; so has each neighbour, with a finite
+    log retention that is its negative drop; there is a neighbour at least. cells: target, role, fact, family, drop, log_retention.
+    """
+    if len(families) < 2 or len(set(families)) != len(families):
+        raise ValueError("families must be at least two distinct names")
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    drop, kept = F.col("drop"), F.col("log_retention")
+    agrees = F.abs(kept + drop) <= IDENTITY_TOLERANCE * F.greatest(F.lit(1.0), F.abs(drop))
+    known = F.coalesce(F.col("family").isin(*families), F.lit(False))
+    by_fact = cells.groupBy("target", "role", "fact").agg(
+        (F.bool_and(known) & (F.count("*") == len(families)) & (F.count_distinct("family") == len(families))).alias("whole"),
+        F.bool_and(finite("drop")).alias("drops"),
+        F.bool_and(finite("log_retention")).alias("kept"),
+        F.bool_and(F.coalesce(agrees, F.lit(False))).alias("agrees"),
+    )
+    target, neighbour = F.col("role") == "target", F.col("role") == "neighbour"
+    none = lambda of, what: F.count_if(of & ~F.col(what)) > 0
+    fault = (
+        F.when((F.count_if(target) != 1) | none(target, "whole"), "target needs one value per family")
+        .when((F.count_if(neighbour) == 0) | none(neighbour, "whole"), "neighbours need one value per family")
+        .when(none(target, "drops"), "target drop not finite")
+        .when(none(neighbour, "drops"), "drop not finite")
+        .when(none(neighbour, "kept"), "log retention not finite")
+        .when(none(neighbour, "agrees"), "log retention is not the negative drop")
+    )
+    return by_fact.groupBy("target").agg(fault.alias("fault")).where("fault IS NOT NULL")
