@@ -14,7 +14,7 @@ reaches LIKELY while the answer's share reaches ANSWER. Items of fewer than SHOR
 
 The documents are read once for each block and once for the word counts of GROUP blocks, and never shuffled. Null or empty texts and items match nothing. Rows that repeat an
 id are searched on their own; a pair is returned once with its best scores. Rows with a null id are searched as well and
-return under a null id.
+return under a null id. Without documents or items nothing is returned. Only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

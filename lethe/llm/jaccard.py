@@ -22,7 +22,8 @@ different components and each class's number of links leave it. Without ``count_
 meet in round 2, and families of one component stay out of it.
 
 A class that has no words links with nothing; neither does a null text. A null id keeps its row and never becomes a
-component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners.
+component's name unless all its ids are null. Rows that repeat an id are nodes of their own sets. No cap on partners. An empty
+table gives no row. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

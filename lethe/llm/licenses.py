@@ -10,7 +10,8 @@ without any statement scores 0.
 
 Null and empty texts have no words and no statements; a null id stays null; a repeated row gives its result again. A text is
 scanned whole in time proportional to its length; of notices that start at one word the longest counts for the score, all
-for the labels. The work is one narrow pass over the text (no shuffle).
+for the labels. The work is one narrow pass over the text (no shuffle). An empty table gives no row. Only the two named columns are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ pre-aggregated and broadcast instead. What comes back is a bitmap per document w
 by position; chunks without a dropped line are empty, and nothing follows the last one), never text; ``apply_bitmaps`` puts it to use.
 
 Null or empty text: one empty line, kept. A null id counts as larger than all others. Rows that repeat an id
-belong to one document. Lines whose key is shorter than ``min_chars`` code points always stay.
+belong to one document; equal lines of one document all stay if no smaller id holds them. Lines whose key is shorter than ``min_chars``
+code points always stay. An empty table gives no row. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

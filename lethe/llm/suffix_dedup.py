@@ -15,8 +15,8 @@ boundary between them share ``length`` bytes; all but the earliest window of suc
 A gram in many contexts within one task leaves it once per distinct context (combined before the shuffle). A gram with more than HOT
 distinct contexts is split into its single windows, which are compared by a 128-bit hash of their bytes, combined in the same way.
 
-Null text: no bytes. A null id counts as larger than all others. Rows that repeat an id are documents of their own,
-ordered by their texts.
+Null or empty text: no bytes, nothing removed. A null id counts as larger than all others. Rows that repeat an id are documents of
+their own, ordered by their texts. An empty table gives no row. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ depend on what lies beyond. The last such boundary of the overlap is taken. If t
 left, twofold each time; when it holds the whole left chunk, the chunk grows to the right instead, at last to the text's end.
 A text of one chunk is encoded run by run, and a run that has been encoded before takes its count from a bounded cache.
 
-Null text: empty, no tokens. One row per row of the input; no shuffle. Repeated rows and ids are counted each.
+Null text: empty, no tokens. One row per row of the input; no shuffle. Repeated rows and ids are counted each. An empty table gives no
+row. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

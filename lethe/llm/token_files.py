@@ -14,7 +14,7 @@ compresses and packs shards of about ``shard_bytes``, and Spark's Parquet writer
 executor's shards are written again, never twice). Reading yields, for each document, what stands in the file.
 
 Null text: no ids but the end id. A null id sorts first. Rows that repeat an id all stay, ordered by their texts.
-An empty table gives no shard.
+An empty table gives no shard. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
