@@ -1,6 +1,9 @@
 """From raw documents to token files, in five stages; each reads its predecessor's table and works on all of it.
 
 Only ids and thresholds travel between a stage's decision and the texts. A stage's columns are those of its input.
+
+Null and empty texts: each stage treats them as its operator does. Rows with a null id are judged as others are, and stay unless their id's
+rows all go. Of rows that repeat an id one is left after the second stage. Very long texts are read whole. An empty table leaves no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest id; of rows that repeat an id, one."""
+    """One document of each group of linked ones, that with the smallest id; of rows that repeat an id, that with the least text."""
     found = shared.staged(jaccard.jaccard_components(docs, count_links=False), "components")
     kept = shared.by_ids(docs, shared.staged(found.where("doc_id != component_id").select("doc_id").distinct(), "copies"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    rest = F.struct("text", *[name for name in kept.columns if name not in ("doc_id", "text")])
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(rest).alias("least")).select("doc_id", "least.*")
+    return kept.where("doc_id IS NULL").unionByName(one.select(kept.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
