@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,15 @@ from lethe.functions.text import words
 
 
 SALTS = 64
-#: Phrases up to this number travel to every task; beyond it words and texts are shuffled.
-BROADCAST_PHRASES = 50_000
+#: Phrases up to this number and these bytes travel to every task; beyond it words and texts are shuffled.
+BROADCAST_PHRASES, BROADCAST_BYTES = 50_000, 32 << 20
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    chars = F.split(text, "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(F.zip_with(pairs, F.slice(chars, 3, F.size(chars)), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull()))
 
 
 def contains_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -18,22 +27,31 @@ def contains_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
     A phrase can only stand in a text that has its longest inner word; that word is the join key, so the pairs that
     meet are few, and ``contains`` decides. If the phrases are few a text's words meet them where the text is read, and neither
-    words nor texts are shuffled. A phrase of fewer than three words has no inner word: such phrases are
-    compared with all texts, against a broadcast side only when Spark finds it small.
+    words nor texts are shuffled. A phrase of fewer than three words has no inner word: its first three characters are the key
+    (its first character, if it has fewer). An empty phrase stands nowhere.
     """
+    phrases = phrases.where("phrase != ''")
     inner = F.slice(words(F.col("phrase")), 2, F.greatest(F.size(words(F.col("phrase"))) - 2, F.lit(0)))
     # the longest word, first of equals
-    key = F.aggregate(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    keyed = phrases.withColumn("key", key)
-    each = F.explode(F.array_distinct(words(F.col("text")))).alias("key")
-    if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
-        hits = texts.select("text_id", "text", each).join(F.broadcast(keyed.where("key != ''")), "key")
-        met = hits.where(F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
-    else:
-        near = texts.select("text_id", each).join(keyed.where("key != ''").select("phrase_id", "key"), "key").select("text_id", "phrase_id").distinct()
-        met = near.join(phrases, "phrase_id").join(texts, "text_id").where(F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
-    short = texts.join(keyed.where("key = '' AND phrase != ''"), F.contains("text", "phrase")).select("text_id", "phrase_id").distinct()
-    return met.union(short)
+    longest = F.aggregate(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    kind = F.when(longest != "", "word").when(F.char_length("phrase") >= 3, "trigram").otherwise("character")
+    key = F.when(longest != "", longest).when(F.char_length("phrase") >= 3, F.substring("phrase", 1, 3)).otherwise(F.substring("phrase", 1, 1))
+    keyed = phrases.withColumns({"key": key, "kind": kind})
+    found = {row["kind"]: row for row in keyed.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).collect()}
+    few = sum(row["n"] for row in found.values()) <= BROADCAST_PHRASES and sum(row["bytes"] for row in found.values()) <= BROADCAST_BYTES
+    keys = {"word": F.array_distinct(words(F.col("text"))), "trigram": trigrams(F.col("text")), "character": F.array_distinct(F.split("text", ""))}
+
+    def met(kind: str) -> DataFrame:
+        each, own = F.explode(keys[kind]).alias("key"), keyed.where(F.col("kind") == kind)
+        if few:
+            hits = texts.select("text_id", "text", each).join(F.broadcast(own), "key")
+        else:
+            near = texts.select("text_id", each).join(own.select("phrase_id", "key"), "key").select("text_id", "phrase_id").distinct()
+            hits = near.join(phrases, "phrase_id").join(texts, "text_id")
+        return hits.where(F.contains("text", "phrase")).select("text_id", "phrase_id")
+
+    met_by = [met(kind) for kind in keys if kind in found] or [met("word")]
+    return reduce(DataFrame.union, met_by).distinct()
 
 
 def leave_out(records: DataFrame, bundle: DataFrame, group: str, record: str) -> DataFrame:

@@ -238,3 +238,20 @@ def test_question_answer_texts(spark):
     texts = [(1, "Q: one\nA: 1\nQ: two\nQ: three\nA: 3\nQ: four"), (2, "  \n"), (3, None), (4, "x\n Q: a \n A: b \n")]
     found = text.qa_pairs_of(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()
     assert sorted((r.k, r.number, r.question, r.answer) for r in found) == [(1, 0, "one", "1"), (1, 1, "two", ""), (1, 2, "four", ""), (4, 0, "a", "b")]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_phrases_of_any_length(spark, monkeypatch, few):
+    """Phrases without an inner word are found by their first characters, against plain search."""
+    rng = random.Random(8)
+    letters = ["a", "b", "é", "漢", "😀", " ", " ", "x"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(150)] + ["", None, "a"]
+    phrases = ["".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(80)] + ["", None, "a", "aa", " ", "one two three", "a b x a"]
+    texts.append("one two three four")
+    if not few:
+        monkeypatch.setattr(datasets, "BROADCAST_BYTES", 1)
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string").repartition(3)
+    p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id long, phrase string")
+    found = sorted(tuple(r) for r in datasets.contains_pairs(t, p).collect())
+    assert found == sorted((i, k) for i, text in enumerate(texts) for k, phrase in enumerate(phrases) if text and phrase and phrase in text)
+    assert datasets.contains_pairs(t, p.where("phrase = ''")).count() == 0
