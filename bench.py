@@ -17,7 +17,9 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "drop_retention", "score_levels", "neighbour_retention_geo", "afc_certificates", "gate_compare", "contamination_contains",
     "leave_out_manifest", "bootstrap_nested", "bootstrap_crossed", "holm", "ledger_lineage", "connected_groups", "upsert_latest",
-    "budget_fold", "early_stop", "corpus_rules", "rouge_l_turns", "summary_by_job",
+    "budget_fold", "early_stop", "corpus_rules", "rouge_l_turns", "summary_by_job", "export_round_trip", "eval_probes", "splits_masked",
+    "rules_group", "document_differences", "copies_split", "split_assignment", "gateway_requests", "gateway_replay", "source_bundles",
+    "exclusion_run", "document_nodes", "fixture_subsets",
 ]
 
 

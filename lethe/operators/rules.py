@@ -38,10 +38,12 @@ def missing_references(rows: DataFrame, column: str, target: DataFrame, key: str
     return rows.join(known, column, "left_anti").where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def group_counts(rows: DataFrame, group: str, rule_id: str, holds: Column) -> DataFrame:
-    """rule_id, n_groups, n_broken of a rule on aggregates of each group."""
-    found = rows.groupBy(group).agg(F.coalesce(holds, F.lit(False)).alias("_ok"))
-    return found.agg(F.lit(rule_id).alias("rule_id"), F.count("*").alias("n_groups"), F.count_if(~F.col("_ok")).alias("n_broken"))
+def group_counts(rows: DataFrame, group: str, holds: dict[str, Column]) -> DataFrame:
+    """rule_id, n_groups, n_broken of rules on aggregates of each group, all from one pass over the rows."""
+    checks = [F.coalesce(ok, F.lit(False)).alias(f"r{i}") for i, ok in enumerate(holds.values())]
+    one = rows.groupBy(group).agg(*checks).agg(F.count("*").alias("n_groups"), *[F.count_if(~F.col(f"r{i}")).alias(f"n{i}") for i in range(len(holds))])
+    each = F.array(*[F.struct(F.lit(rule_id).alias("rule_id"), F.col(f"n{i}").alias("n_broken")) for i, rule_id in enumerate(holds)])
+    return one.select("n_groups", F.inline(each)).select("rule_id", "n_groups", "n_broken")
 
 
 def frozen(current: DataFrame, baseline: DataFrame, amended: DataFrame, key: str, content: Column) -> DataFrame:

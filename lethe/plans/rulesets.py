@@ -118,7 +118,10 @@ GROUP_RULES = {
 )
 def rules_group(spark: SparkSession, folder: str) -> DataFrame:
     """Rules on counts, sums and extremes of groups: reviews, coverage, totals, reservations, numbering."""
-    found = [rules.group_counts(table(spark, folder, of), group, rule, F.expr(holds)) for rule, (of, group, holds) in GROUP_RULES.items()]
+    by_group: dict[tuple[str, str], dict] = {}
+    for rule, (of, group, holds) in GROUP_RULES.items():
+        by_group.setdefault((of, group), {})[rule] = F.expr(holds)
+    found = [rules.group_counts(table(spark, folder, of), group, holds) for (of, group), holds in by_group.items()]
     return reduce(DataFrame.union, found)
 
 
