@@ -255,3 +255,10 @@ def test_phrases_of_any_length(spark, monkeypatch, few):
     found = sorted(tuple(r) for r in datasets.contains_pairs(t, p).collect())
     assert found == sorted((i, k) for i, text in enumerate(texts) for k, phrase in enumerate(phrases) if text and phrase and phrase in text)
     assert datasets.contains_pairs(t, p.where("phrase = ''")).count() == 0
+
+
+def test_group_rules_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 7), (2, None), (3, 1), (None, 9)], "g int, v int")
+    holds = {"sum": F.sum("v") > 4, "one": F.count("*") == 1, "known": F.count("v") == F.count("*")}
+    assert rows_of(rules.group_counts(rows, "g", holds)) == [("known", 4, 1), ("one", 4, 1), ("sum", 4, 2)]
+    assert rows_of(rules.group_counts(rows.limit(0), "g", holds)) == [("known", 0, 0), ("one", 0, 0), ("sum", 0, 0)]
