@@ -262,7 +262,7 @@ class Encoder(tokens.PieceCache):
         return [b"".join(ids) for ids in out]
 
 
-@functools.lru_cache(2)
+@shared.kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The caches of this Python worker (functools.lru_cache), and the stage that asked for each last.
+_USED: dict[Any, int | None] = {}
+
+
+def stage_id() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def kept(make: Callable) -> Callable:
+    """``lru_cache`` for what is large: a worker keeps it over the tasks of a stage, not beside the work of stages without it."""
+    cached = functools.lru_cache(4)(make)
+
+    @functools.wraps(make)
+    def get(*args: Any) -> Any:
+        _USED[cached] = stage_id()
+        return cached(*args)
+
+    return get
+
+
+def drop_unused() -> None:
+    """Empties the caches that no task of the present stage has asked for in this worker: Spark hands workers on to later stages."""
+    now = stage_id()
+    for cached in [cached for cached, stage in _USED.items() if stage != now]:
+        cached.cache_clear()
+        del _USED[cached]
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     """UTF-8 bytes of each row's text, a null as empty."""
+    drop_unused()
     filled = pc.fill_null(batch.column(column), "")
     for value in filled.cast(pa.binary()):
         yield value.as_py()

@@ -8,7 +8,6 @@ Distinct pieces are encoded once by the library; a worker keeps them in a bounde
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import sys
@@ -18,8 +17,10 @@ from itertools import filterfalse
 from operator import attrgetter
 from typing import Any
 
-#: Pieces in each of the cache's two generations; about 150 bytes each.
-CACHE_PIECES = 600_000
+from .shared import kept
+
+#: Pieces in each of the cache's two generations; about 200 bytes each.
+CACHE_PIECES = 400_000
 #: Marks that form a run of their own behind a letter. Not the apostrophe (contractions), nor what special tokens are written with.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 LITERAL = "\0"
@@ -120,7 +121,7 @@ class PieceCache:
         return [fold(map(value, parts)) for parts in texts]
 
 
-@functools.lru_cache(4)
+@kept
 def id_cache(path: str, width: int = 4) -> PieceCache:
     """Ids as little-endian unsigned integers of 2 or 4 bytes."""
     kind = "H" if width == 2 else "I"
@@ -134,7 +135,7 @@ def id_cache(path: str, width: int = 4) -> PieceCache:
     return PieceCache(path, packed, plain=True)
 
 
-@functools.lru_cache(4)
+@kept
 def count_cache(path: str) -> PieceCache:
     return PieceCache(path, len)
 
