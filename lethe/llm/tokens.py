@@ -13,10 +13,12 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import filterfalse
-from operator import attrgetter
+from itertools import accumulate, chain, compress, count, pairwise
+from operator import attrgetter, not_
 from typing import Any
 
+import numpy as np
+
 from .shared import kept
 
 #: Pieces in each of the cache's two generations; about 200 bytes each.
@@ -27,7 +29,10 @@ LITERAL = "\0"
 #: How byte-level models write bytes: printable ones as they are, the others from U+0100 on, in order.
 BYTE_MARKS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512)))
 SPACE_MARK = chr(BYTE_MARKS[32])
+MARKS_OF_WORDS = {byte: mark for byte, mark in BYTE_MARKS.items() if byte != 32}
 ID = attrgetter("id")
+#: Words that the model encodes in one call.
+WORDS = 2048
 
 
 def published(name: str) -> str:
@@ -53,7 +58,7 @@ class PieceCache:
     """What ``value`` makes of the ids of each piece; the values of parts add up.
 
     In a byte-level model without a normalizer (plain) a piece is written for look-up without its leading space; one with a
-    leading line feed is that and what follows, and one after LITERAL stands for itself.
+    leading line feed is that and what follows, and one after LITERAL stands for itself. The values are bytes then, as many for each id.
     """
 
     limit = CACHE_PIECES
@@ -61,12 +66,36 @@ class PieceCache:
     def __init__(self, path: str, value: Callable[[Iterable[int]], Any], plain: bool = False):
         self.tokenizer, self.value, self.plain = load(path), value, plain
         self.young, self.old = {}, {}
+        if plain:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+            self.bare = Tokenizer(self.tokenizer.model)  # cuts at blanks only
+            self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_MARK)]] = True
+
+    def learn_words(self, keys: list[str]) -> None:
+        """A space and letters are one pre-token, so the model alone gives its ids: the first of them begins with the space, no other does."""
+        for k in range(0, len(keys), WORDS):
+            some = keys[k : k + WORDS]
+            text = " ".join(some)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(MARKS_OF_WORDS)
+            text = SPACE_MARK + text.replace(" ", " " + SPACE_MARK)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            packed, first = self.value(ids.tolist()), np.flatnonzero(self.begins[ids])
+            if len(first) == len(some):
+                ends = [*(first * (len(packed) // len(ids))).tolist(), len(packed)]
+                self.young.update(zip(some, [packed[s:e] for s, e in pairwise(ends)]))
+            else:  # a vocabulary that lacks the space
+                self.young.update(zip(some, [self.value(map(ID, self.tokenizer.model.tokenize(word))) for word in text.split(" ")]))
 
     def learn(self, keys: Iterable[str]) -> None:
         """Puts a value for each of ``keys`` into the cache."""
         young, old, plain = self.young, self.old, self.plain
         literal, value, tokenize = LITERAL if plain else "", self.value, self.tokenizer.model.tokenize
-        sums, todo = [], list(set(keys))
+        sums, todo, ascii_words, words = [], list(set(keys)), {}, []
         single: dict[str, None] = {}
         for key in todo:  # grows by the parts of sums
             if key in young:
@@ -75,8 +104,8 @@ class PieceCache:
                 young[key] = found
                 continue
             if key.isalpha():
-                if plain and key.isascii():  # a space and letters are one pre-token: the model alone gives its ids
-                    young[key] = value(map(ID, tokenize(SPACE_MARK + key)))
+                if plain and key.isascii():
+                    ascii_words[key] = None
                 else:
                     single[key] = None
                 continue
@@ -97,9 +126,11 @@ class PieceCache:
                     young[key] = value(map(ID, tokenize(key[1:])))
                     continue
                 if key.isalpha() and max(key) < "\u0250":
-                    young[key] = value(map(ID, tokenize(SPACE_MARK + key.encode().decode("latin-1").translate(BYTE_MARKS))))
+                    words.append(key)
                     continue
                 others.append(key)
+            self.learn_words(list(ascii_words))
+            self.learn_words(words)
         else:
             others = list(single)
         for k in range(0, len(others), 4096):
@@ -114,11 +145,13 @@ class PieceCache:
         """What ``fold`` makes of the values of each text's pieces."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        known = self.young.__contains__
-        if missed := [piece for parts in texts for piece in filterfalse(known, parts)]:
-            self.learn(missed)
-        value = self.young.__getitem__
-        return [fold(map(value, parts)) for parts in texts]
+        parts = list(chain.from_iterable(texts))
+        values = list(map(self.young.get, parts))
+        if missed := list(compress(count(), map(not_, values))):
+            self.learn([parts[k] for k in missed])
+            for k in missed:
+                values[k] = self.young[parts[k]]
+        return [fold(values[s:e]) for s, e in pairwise([0, *accumulate(map(len, texts))])]
 
 
 @kept
@@ -143,12 +176,14 @@ def count_cache(path: str) -> PieceCache:
 #: The character that marks the cuts, and white space other than space and line feed.
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
+#: A full stop and a comma between a letter and a blank or the end: runs of their own, and most words are met without them.
+_STOP, _COMMA = (re.compile(f"{mark}(?= |\\Z)(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{mark})") for mark in (r"\.", ","))
 
 
 def pieces(text: str) -> list[str]:
-    """A line feed and ``text``, cut before each space after a non-space character and before lone line feeds, as keys of ``id_cache``."""
+    """A line feed and ``text``, cut before each space after a non-space character, lone line feeds and most stops and commas, as keys of ``id_cache``."""
     if not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)):
-        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
+        return _COMMA.sub(f" {LITERAL},", _STOP.sub(f" {LITERAL}.", f"\n{text}".replace("\n", " \n"))).split(" ")[1:]
     parts = text.split(" ")
     out = [parts[0]]
     for part in parts[1:]:
