@@ -145,12 +145,14 @@ b AS (SELECT user_id, arg_max(event_id, value) FILTER (WHERE NOT breached) AS be
 SELECT user_id, CASE WHEN good > 0 THEN best ELSE fallback END AS epoch, CASE WHEN good > 0 THEN 'clean' WHEN fallback IS NOT NULL THEN 'below_guard' ELSE 'none' END AS status FROM b""",
 )
 def chosen_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    """The best clean epoch of a run that has a good one, else the best breached one, flagged, else none."""
+    """The best clean epoch of a run that has a good one, else the best breached one, flagged, else none; of equal values the earliest epoch."""
     e = table(spark, folder, "events").where("value IS NOT NULL").withColumn("breached", F.col("event_type") == "error")
-    clean = lambda c: F.when(~F.col("breached"), c)
-    broken = lambda c: F.when(F.col("breached"), c)
+    # The complement orders ids downwards without overflow; rows without an id are no epochs.
+    order = F.struct("value", F.bitwise_not("event_id"))
+    clean = F.when(~F.col("breached") & F.col("event_id").isNotNull(), order)
+    broken = F.when(F.col("breached") & F.col("event_id").isNotNull(), order)
     found = e.groupBy("user_id").agg(
-        F.max_by("event_id", clean(F.col("value"))).alias("best"), F.max_by("event_id", broken(F.col("value"))).alias("fallback"),
+        F.max_by("event_id", clean).alias("best"), F.max_by("event_id", broken).alias("fallback"),
         F.count_if(~F.col("breached") & (F.col("value") > 150)).alias("good"), F.count_if("breached").alias("n_breached"),
     )
     fallback = F.when(F.col("n_breached") > 0, F.col("fallback"))

@@ -66,3 +66,16 @@ def test_connected_groups_of_all_lines(spark, duck):
         parent[high] = low
     found = registry.queries()["connected_groups_all"](spark, FOLDER)
     assert sorted((r.node, r.root) for r in found.collect()) == sorted((x, top(x)) for x in list(parent))
+
+
+def test_chosen_epochs_takes_the_earliest_of_equal_values(spark, tmp_path):
+    types = ["click", "error", "view"]
+    rows = [(k, k % 7, types[k % 3], [150.0, 160.5, None, 160.5, 3.0][k % 5], "{}") for k in range(400)] + [(None, 1, "click", 900.0, "{}"), (None, 2, "error", 900.0, "{}"), (400, 9, "error", 160.5, "{}"), (401, 9, "error", 160.5, "{}")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["chosen_epochs"](spark, str(tmp_path))
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    right = con.sql(registry.oracle_sql()["chosen_epochs"])
+    assert table(found.columns, [tuple(r) for r in found.collect()]) == table(right.columns, right.fetchall())
+    assert {r.user_id: r.epoch for r in found.collect()}[9] == 400
