@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe.operators import ledger, rules, state
-from lethe.operators.graph import connected_components
+from lethe.operators.graph import connected_components, record_components
 from lethe.plans.scores import r, rounded
 from lethe.registry import register
 from lethe.sources import tables
 from lethe.sources.tables import table
+from lethe.storage import staged
 
 
 def chained(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,9 +97,10 @@ def connected_groups(spark: SparkSession, folder: str) -> DataFrame:
 @register("connected_groups_all")
 def connected_groups_all(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and suppliers that any line ties together: the graph of the whole table, mostly one component (no SQL: its closure is quadratic)."""
-    rows = table(spark, folder, "lineitem")
-    edges = rows.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
-    return connected_components(edges, "a", "b")
+    keys = record_components(table(spark, folder, "lineitem"), "l_orderkey", "l_suppkey")
+    nodes = keys.select(F.coalesce(F.concat(F.lit("o"), "left"), F.concat(F.lit("s"), "right")).alias("node"), F.col("root").alias("group"))
+    least = staged(nodes.groupBy("group").agg(F.min("node").alias("root")), "names")
+    return nodes.join(least, "group").select("node", "root")
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

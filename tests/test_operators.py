@@ -6,8 +6,9 @@ import math
 import random
 
 import pytest
-from lethe.operators import datasets, ledger, multiplicity, resampling, rules, scoring, state, verdicts
+from lethe.operators import datasets, graph, ledger, multiplicity, resampling, rules, scoring, state, verdicts
 from lethe.operators.graph import connected_components
+from lethe.plans import records
 from lethe.sources import sinks, tables
 from lethe.streaming import budgets
 from pyspark.sql import functions as F
@@ -117,6 +118,50 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_record_components(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randrange(-40, 400), rng.randrange(-9, 300)) for _ in range(260)] + [(1000 + k, 1000 + k // 2) for k in range(80)] + [(1000 + k, 1000 + (k + 1) // 2) for k in range(80)]
+    rows += [(5000, k) for k in range(2000, 2100)] + [(k, 6000) for k in range(6000, 6100)] + [((1 << 63) - 1, -(1 << 63)), (None, 3), (4, None), (None, None)]
+    rng.shuffle(rows)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in rows:
+        if a is not None and b is not None:
+            low, high = sorted((root((1, a)), root((0, b))))
+            parent[high] = low
+    right = [(a if side else None, None if side else a, root((side, a))[1]) for side, a in list(parent)]
+    frame = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for chunk in (7, 1 << 20):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        before = spark.conf.get(size)
+        spark.conf.set(size, "5")
+        found = [tuple(r) for r in graph.record_components(frame, "a", "b").collect()]
+        spark.conf.set(size, before)
+        assert sorted(found, key=repr) == sorted(right, key=repr)
+    assert graph.record_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_rounds_of_all_lines_see_what_ties_parts_together(spark, monkeypatch):
+    seen = []
+
+    def counted(edges, left, right):
+        seen.append(edges.count())
+        return connected_components(edges, left, right)
+
+    monkeypatch.setattr(graph, "connected_components", counted)
+    monkeypatch.setattr(records, "connected_components", counted)
+    found = records.connected_groups_all(spark, "/root/testdata/sf0.01")
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    assert found.count() == lines.select("l_orderkey").distinct().count() + lines.select("l_suppkey").distinct().count()
+    assert len(seen) == 1 and seen[0] < lines.count() // 50
+
+
 def test_lineage_cycle_and_missing_parent(spark):
     rows = [(1, None), *[(i, i - 1) for i in range(2, 130)], (200, 201), (201, 200), (300, 999), (301, 300)]
     found = {r.row: (r.root, r.depth) for r in ledger.lineage(spark.createDataFrame(rows, "id long, parent long"), "id", "parent", max_rounds=10).collect()}
